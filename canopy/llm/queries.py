@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from canopy.llm.bpe import op9_bpe
+from canopy.llm.secret_scan import op8_secrets
 from canopy.llm.sharding import op10_sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op8_secrets": op8_secrets,
     "op9_bpe": op9_bpe,
     "op10_sharding": op10_sharding,
 }
