@@ -9,12 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from canopy.llm.bpe import op9_bpe
 from canopy.llm.secret_scan import op8_secrets
 from canopy.llm.sharding import op10_sharding
+from canopy.llm.warc import OP3_SQL, op3_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_warc": op3_warc,
     "op8_secrets": op8_secrets,
     "op9_bpe": op9_bpe,
     "op10_sharding": op10_sharding,
 }
 
-#: None of the ten can be written in the SQL at hand (checksums, codecs, automata, models); tests hold them to brute force.
-ORACLES: dict[str, str] = {}
+#: The others cannot be written in the SQL at hand (checksums, codecs, automata, models); tests hold them to brute force.
+ORACLES: dict[str, str] = {"op3_warc": OP3_SQL}
