@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from canopy.llm.avi import op1_avi
 from canopy.llm.bpe import op9_bpe
 from canopy.llm.secret_scan import op8_secrets
 from canopy.llm.sharding import op10_sharding
 from canopy.llm.warc import OP3_SQL, op3_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_avi": op1_avi,
     "op3_warc": op3_warc,
     "op8_secrets": op8_secrets,
     "op9_bpe": op9_bpe,
