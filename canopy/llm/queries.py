@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from canopy.llm.ann import op6_ann
 from canopy.llm.avi import op1_avi
 from canopy.llm.bpe import op9_bpe
 from canopy.llm.secret_scan import op8_secrets
@@ -15,6 +16,7 @@ from canopy.llm.warc import OP3_SQL, op3_warc
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_avi": op1_avi,
     "op3_warc": op3_warc,
+    "op6_ann": op6_ann,
     "op8_secrets": op8_secrets,
     "op9_bpe": op9_bpe,
     "op10_sharding": op10_sharding,
