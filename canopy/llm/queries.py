@@ -9,13 +9,17 @@ from pyspark.sql import DataFrame, SparkSession
 from canopy.llm.ann import op6_ann
 from canopy.llm.avi import op1_avi
 from canopy.llm.bpe import op9_bpe
+from canopy.llm.jaccard import op2_jaccard
 from canopy.llm.secret_scan import op8_secrets
 from canopy.llm.sharding import op10_sharding
+from canopy.llm.toxicity import op4_toxicity
 from canopy.llm.warc import OP3_SQL, op3_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_avi": op1_avi,
+    "op2_jaccard": op2_jaccard,
     "op3_warc": op3_warc,
+    "op4_toxicity": op4_toxicity,
     "op6_ann": op6_ann,
     "op8_secrets": op8_secrets,
     "op9_bpe": op9_bpe,
