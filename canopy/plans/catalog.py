@@ -1,6 +1,8 @@
-"""Registry of the engine's queries and their SQL oracles."""
+"""All queries of the engine and their SQL."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from canopy.plans import tree_queries  # noqa: F401  registers
+from canopy.plans.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
