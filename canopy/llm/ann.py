@@ -30,13 +30,15 @@ from pyspark.sql import functions as F
 from canopy.llm.common import partitions_for, stored, table
 
 FIT_ROWS = 20_000
+#: Rows of the sample that go with the tree.
+FLOOR_ROWS = 8192
 LEAF_ROWS = 40
 BRANCHES = 8
 ROUNDS = 8
 TARGET = 0.97
 CALIBRATION_QUERIES = 200
-#: Rows of one block of a leaf.
-BLOCK = 4096
+#: Rows of one block of a leaf; rows of leaves that share a part.
+BLOCK, PART_ROWS = 2048, 1024
 
 
 @dataclass
@@ -49,6 +51,16 @@ class Tree:
     leaf: np.ndarray
     share: np.ndarray  # of the sample's distinct vectors, by leaf
     budget: float = 0.1  # share of these that a query looks at, at least
+    floor_ids: np.ndarray | None = None  # some rows of the table,
+    floor_rows: np.ndarray | None = None  # and their leaves: the k-th nearest of those that a query
+    floor_leaf: np.ndarray | None = None  # looks at is a floor for the k nearest that it finds
+
+    def floor(self, query_id: int, q: np.ndarray, k: int, leaves: list[int]) -> float:
+        """What the k-th nearest score in these leaves is at least."""
+        looked = np.zeros(len(self.share), bool)
+        looked[leaves] = True
+        score = self.floor_rows[looked[self.floor_leaf] & (self.floor_ids != query_id)] @ q
+        return float(np.partition(score, -k)[-k]) - 1e-9 * (1 + float(np.abs(score).max())) if len(score) >= k else -np.inf
 
     def assign(self, x: np.ndarray) -> np.ndarray:
         """The leaf of each vector: the nearest child at every node."""
@@ -118,11 +130,13 @@ def fit(x: np.ndarray, seed: int = 7) -> Tree:
                     rows.append(g)
         rows[i] = own if count[i] == 0 else None
         i += 1
-    leaf, n_leaves, share = np.full(len(centre), -1), 0, []
-    for i, c in enumerate(count):
-        if c == 0:
-            leaf[i], n_leaves = n_leaves, n_leaves + 1
+    leaf, share, todo = np.full(len(centre), -1), [], [0]
+    while todo:  # numbered depth first, so leaves near each other have near numbers
+        i = todo.pop()
+        if count[i] == 0:
+            leaf[i] = len(share)
             share.append(len(rows[i]) / len(distinct))
+        todo += range(first[i] + count[i] - 1, first[i] - 1, -1)
     return Tree(np.array(centre), np.array(first), np.array(count), leaf, np.array(share))
 
 
@@ -155,8 +169,9 @@ def calibrate(tree: Tree, x: np.ndarray, k: int, seed: int = 11) -> Tree:
 
 
 def sound(vectors: DataFrame, key: str, column: str) -> DataFrame:
-    """id and vector (array<double>) of the rows that take part."""
-    v = F.col(column).cast("array<double>")
+    """id and vector of the rows that take part; floats stay floats until they are multiplied."""
+    kind = vectors.schema[column].dataType.elementType.simpleString()
+    v = F.col(column) if kind in ("float", "double") else F.col(column).cast("array<double>")
     ok = F.forall(v, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))) & F.exists(v, lambda c: c != 0)
     return vectors.select(F.col(key).cast("long").alias("vec_id"), v.alias("v")).filter(F.col("v").isNotNull() & (F.size("v") > 0) & F.col("vec_id").isNotNull()).filter(ok)
 
@@ -167,8 +182,12 @@ def build_tree(rows: DataFrame, k: int, fit_rows: int = FIT_ROWS) -> Tree | None
         return None
     sizes = sample["v"].map(len)
     size = sizes.mode().iloc[0]
-    x = np.stack(sample["v"][sizes == size].to_numpy()).astype(np.float64)
-    return calibrate(fit(x), x, k)
+    sample = sample[sizes == size]
+    x = np.stack(sample["v"].to_numpy()).astype(np.float64)
+    tree = calibrate(fit(x), x, k)
+    tree.floor_ids, tree.floor_rows = sample["vec_id"].to_numpy()[:FLOOR_ROWS], x[:FLOOR_ROWS]
+    tree.floor_leaf = tree.assign(tree.floor_rows)
+    return tree
 
 
 def with_leaf(rows: DataFrame, tree: Tree) -> DataFrame:
@@ -179,40 +198,91 @@ def with_leaf(rows: DataFrame, tree: Tree) -> DataFrame:
             v = b.column(1)
             b = b.filter(pa.compute.equal(pa.compute.list_value_length(v), size))
             if b.num_rows:
-                leaf = tree.assign(b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, size))
+                leaf = tree.assign(b.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, size))
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(leaf, pa.int32())], names=["vec_id", "v", "leaf"])
 
-    return rows.mapInArrow(work, "vec_id long, v array<double>, leaf int")
+    return rows.mapInArrow(work, f"vec_id long, v {rows.schema['v'].dataType.simpleString()}, leaf int")
+
+
+@dataclass
+class Layout:
+    """Where the rows of each leaf are: leaves beside each other share a part; a leaf of several blocks is a part of its own."""
 
+    part: dict[int, int]
+    blocks: dict[int, int]
 
-def with_visits(queries: DataFrame, tree: Tree) -> DataFrame:
-    """A row for each leaf that a query looks at."""
+    @staticmethod
+    def of(size: dict[int, int], rows: int = PART_ROWS) -> Layout:
+        part, held, now = {}, 0, 0
+        for leaf in sorted(size):
+            if size[leaf] <= BLOCK and held and held + size[leaf] > rows:
+                now, held = now + 1, 0
+            part[leaf] = now if size[leaf] <= BLOCK else -leaf - 1
+            held += size[leaf] if size[leaf] <= BLOCK else 0
+        return Layout(part, {leaf: -(-n // BLOCK) for leaf, n in size.items()})
+
+
+def with_visits(queries: DataFrame, tree: Tree, layout: Layout, k: int) -> DataFrame:
+    """part, block, query_id, q, least, leaves: a row for each block that holds leaves a query looks at.
+
+    least: no row that scores less is among the k nearest, so blocks need not return any.
+    """
+    size = tree.centre.shape[1]
+    kind = queries.schema["v"].dataType.simpleString()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at in range(0, b.num_rows, 256):
-                part = b.slice(at, 256)
-                leaves = [tree.visits(np.array(q)) for q in part.column(1).to_pylist()]
-                take = np.repeat(np.arange(part.num_rows), [len(x) for x in leaves])
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(take)), part.column(1).take(pa.array(take)), pa.array(np.concatenate(leaves), pa.int32())], names=["vec_id", "v", "leaf"])
-
-    return queries.filter(F.size("v") == tree.centre.shape[1]).mapInArrow(work, "vec_id long, v array<double>, leaf int")
-
-
-def best(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray, k: int) -> pd.DataFrame:
-    """The k nearest rows of a block to each query, ties to the smaller id."""
-    order = np.argsort(ids, kind="stable")
-    ids, x = ids[order], x[order]
-    out = []
-    for at in range(0, len(q), 512):
-        score = np.einsum("qd,nd->qn", q[at : at + 512], x)
-        score[query_ids[at : at + 512, None] == ids[None, :]] = -np.inf
-        m = min(k, len(ids))
-        near = np.argsort(-score, axis=1, kind="stable")[:, :m]
-        got = np.take_along_axis(score, near, 1)
-        ok = got > -np.inf
-        out.append(pd.DataFrame({"query_id": np.repeat(query_ids[at : at + 512], m)[ok.ravel()], "vec_id": ids[near].ravel()[ok.ravel()], "score": got.ravel()[ok.ravel()]}))
-    return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+            for at in range(0, b.num_rows, 64):
+                part = b.slice(at, 64)
+                rows = []
+                for i, (key, q) in enumerate(zip(part.column(0).to_pylist(), part.column(1), strict=True)):
+                    by: dict[tuple[int, int], list[int]] = {}
+                    q = np.array(q.as_py(), np.float64)
+                    leaves = tree.visits(q)
+                    least = tree.floor(key, q, k, leaves)
+                    for leaf in leaves:
+                        for block in range(layout.blocks.get(leaf, 0)):
+                            by.setdefault((layout.part[leaf], block), []).append(leaf)
+                    rows += [(p, n, i, least, leaves) for (p, n), leaves in by.items()]
+                if rows:
+                    p, n, i, least, leaves = zip(*rows, strict=True)
+                    take = pa.array(i)
+                    yield pa.RecordBatch.from_arrays([pa.array(p, pa.int32()), pa.array(n, pa.int32()), part.column(0).take(take), part.column(1).take(take), pa.array(least, pa.float64()), pa.array(leaves, pa.list_(pa.int32()))], names=["part", "block", "query_id", "q", "least", "leaves"])
+
+    return queries.filter(F.size("v") == size).mapInArrow(work, f"part int, block int, query_id long, q {kind}, least double, leaves array<int>")
+
+
+def best(ids: np.ndarray, x: np.ndarray, leaf: np.ndarray, query_ids: np.ndarray, q: np.ndarray, least: np.ndarray, leaves: list[np.ndarray], k: int) -> pd.DataFrame:
+    """The k nearest rows of a block to each query among the leaves that it looks at, ties to the smaller id."""
+    order = np.lexsort((ids, leaf))
+    ids, x, leaf = ids[order], x[order], leaf[order]
+    asker = np.repeat(np.arange(len(q)), [len(v) for v in leaves])
+    asked = np.concatenate(leaves)
+    by = np.argsort(asked, kind="stable")
+    asker, asked = asker[by], asked[by]
+    who, near, got = [], [], []
+    for v in np.unique(leaf):
+        a, b = np.searchsorted(leaf, [v, v + 1])
+        c, d = np.searchsorted(asked, [v, v + 1])
+        for at in range(c, d, 256):
+            some = asker[at : min(at + 256, d)]
+            score = np.einsum("qd,nd->qn", q[some], x[a:b])
+            score[query_ids[some, None] == ids[None, a:b]] = -np.inf
+            top = np.argsort(-score, axis=1, kind="stable")[:, :k]
+            value = np.take_along_axis(score, top, 1)
+            ok = (value > -np.inf) & (value >= least[some, None])
+            who.append(np.repeat(some, top.shape[1])[ok.ravel()])
+            near.append(ids[a + top][ok])
+            got.append(value[ok])
+    if not who:
+        return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
+    who, near, got = np.concatenate(who), np.concatenate(near), np.concatenate(got)
+    order = np.lexsort((near, -got, who))
+    who, near, got = who[order], near[order], got[order]
+    start = np.flatnonzero(np.append(True, who[1:] != who[:-1])) if len(who) else np.zeros(0, np.int64)
+    nth = np.arange(len(who)) - np.repeat(start, np.diff(np.append(start, len(who))))
+    keep = nth < k
+    return pd.DataFrame({"query_id": query_ids[who[keep]], "vec_id": near[keep], "score": got[keep]})
 
 
 RESULT = "query_id long, rank int, vec_id long, score double"
@@ -227,25 +297,23 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec_
         return spark.createDataFrame([], RESULT)
     placed = stored(with_leaf(rows, tree), "ann-rows")
     size = {r["leaf"]: r["n"] for r in placed.groupBy("leaf").agg(F.count("*").alias("n")).collect()}  # a row a leaf: bounded by the tree
-    total = sum(size.values())
-    if not total:
+    if not size:
         return spark.createDataFrame([], RESULT)
-    blocks = spark.createDataFrame([(leaf, -(-n // BLOCK)) for leaf, n in size.items()], "leaf int, blocks int")
-    n_parts = partitions_for(total, 2048, 32)
-    dealt = placed.join(F.broadcast(blocks), "leaf").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int")).select("leaf", "block", "vec_id", "v")
-    asked = (
-        with_visits(sound(queries, key, column), tree)
-        .join(F.broadcast(blocks), "leaf")
-        .withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("leaf", "block", F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
-    )
-
-    def meet(_key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty or right.empty:
-            return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
-        return best(left["vec_id"].to_numpy(), np.stack(left["v"].to_numpy()), right["query_id"].to_numpy(), np.stack(right["q"].to_numpy()), k)
-
-    found = dealt.repartition(n_parts, "leaf", "block").groupBy("leaf", "block").cogroup(asked.repartition(n_parts, "leaf", "block").groupBy("leaf", "block")).applyInPandas(meet, "query_id long, vec_id long, score double")
+    layout = Layout.of(size)
+    where = spark.createDataFrame([(leaf, layout.part[leaf], layout.blocks[leaf]) for leaf in size], "leaf int, part int, blocks int")
+    dealt = placed.join(F.broadcast(where), "leaf").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int")).select("part", "block", "leaf", "vec_id", "v")
+    asked = with_visits(sound(queries, key, column), tree, layout, k)
+    n_parts = partitions_for(sum(size.values()), 2 * PART_ROWS, 32)
+
+    def meet(_key, left: pa.Table, right: pa.Table) -> pa.Table:
+        if left.num_rows and right.num_rows:
+            matrix = lambda c: c.combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(c), -1)
+            leaves = [np.array(v) for v in right["leaves"].to_pylist()]
+            found = best(left["vec_id"].to_numpy(), matrix(left["v"]), left["leaf"].to_numpy(), right["query_id"].to_numpy(), matrix(right["q"]), right["least"].to_numpy(), leaves, k)
+            return pa.Table.from_pandas(found, pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())]), preserve_index=False)
+        return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+
+    found = dealt.repartition(n_parts, "part", "block").groupBy("part", "block").cogroup(asked.repartition(n_parts, "part", "block").groupBy("part", "block")).applyInArrow(meet, "query_id long, vec_id long, score double")
     w = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
