@@ -20,6 +20,7 @@ from canopy.schema import ALGORITHMS, DEVICE, DIRENT, EXTENT, FEATURES, IMAGE, I
 MAGIC, SUPER_AT, SUPER_SIZE, SLOT = 0xE0F5E1E2, 1024, 128, 32
 ALL_INCOMPAT = 0x1FF
 NO_BLOCK = 0xFFFFFFFF
+SUPER = "<IIIBBHQQIIII16s16sIHHHBBIQBB2xIQ8x"
 
 
 class BadImage(ValueError):
@@ -31,8 +32,9 @@ class Image:
         self.data, self.image_id = data, image_id
         if len(data) < SUPER_AT + SUPER_SIZE:
             raise BadImage("too short")
-        sb = struct.unpack_from("<IIIBBHQQIIII16s16sIHHHBBIQBB2xIQ8xQ8x", data, SUPER_AT)
-        (magic, checksum, compat, bits, slots, root, inos, epoch, nsec, blocks, meta, xattr, uid, name, incompat, algs, extra, devt, _, n_prefix, prefix_at, packed, _, _, build, root8, metabox) = sb
+        sb = struct.unpack_from(SUPER, data, SUPER_AT)
+        (magic, checksum, compat, bits, slots, root, inos, epoch, nsec, blocks, meta, xattr, uid, name, incompat, algs, extra, devt, _, n_prefix, prefix_at, packed, _, _, build, root8) = sb
+        metabox = struct.unpack_from("<Q", data, SUPER_AT + SUPER_SIZE)[0] if slots and len(data) >= SUPER_AT + SUPER_SIZE + 8 else None
         if magic != MAGIC:
             raise BadImage("magic")
         if not 9 <= bits <= 16:

@@ -7,7 +7,7 @@ import struct
 from pathlib import Path
 
 from canopy.functions.hashes import crc32c
-from canopy.sources.image import MAGIC, NO_BLOCK, SUPER_AT, Image
+from canopy.sources.image import MAGIC, NO_BLOCK, SUPER, SUPER_AT, Image
 
 BITS = 12
 BS = 1 << BITS
@@ -71,7 +71,7 @@ def build(entries: list[dict], epoch: int = 0, uuid: bytes = bytes(16), label: s
         if body and not special:
             out += body.ljust(-(-len(body) // BS) * BS, b"\0")
             block += -(-len(body) // BS)
-    sb = bytearray(struct.pack("<IIIBBHQQIIII16s16sIHHHBBIQBB2xIQ8xQ8x", MAGIC, 0, 1, BITS, 0, nid[""], len(paths), epoch, 0, block, 0, 0, uuid, label.encode()[:15], 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0))
+    sb = bytearray(struct.pack(SUPER, MAGIC, 0, 1, BITS, 0, nid[""], len(paths), epoch, 0, block, 0, 0, uuid, label.encode()[:15], 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0))
     out[SUPER_AT : SUPER_AT + len(sb)] = sb
     crc = crc32c(bytes(out[SUPER_AT:BS]))
     out[SUPER_AT + 4 : SUPER_AT + 8] = struct.pack("<I", crc)
