@@ -73,3 +73,24 @@ def overlay_attributes(entries: DataFrame) -> DataFrame:
 
     origin = entries.filter(is_whiteout(F.col("mode"), F.col("rdev"))).select(parent_of(F.col("path")).alias("path")).distinct()
     return opaque.unionByName(origin.select("path", F.lit("trusted.overlay.origin").alias("name"), F.lit("").alias("value")))
+
+
+def stack(sources: list[DataFrame]) -> DataFrame:
+    """Sources as layers: a later one is above an earlier one (layer_no is its position)."""
+    out = None
+    for no, s in enumerate(sources):
+        s = s.withColumn("layer_no", F.lit(no))
+        out = s if out is None else out.unionByName(s)
+    return out
+
+
+def data_mode(merged: DataFrame, mode: str) -> DataFrame:
+    """What a merge does with data: `index` refers to the source image, `full` copies (and refuses chunked and compressed inputs),
+    `reserve` only keeps room. merged: datalayout, size, layer_no."""
+    if mode == "index":
+        return merged.withColumn("device_id", F.col("layer_no") + 1)
+    if mode == "reserve":
+        return merged.withColumn("reserved", F.col("size"))
+    if mode != "full":
+        raise ValueError(mode)
+    return merged.withColumn("copied", F.when(F.col("datalayout").isin(0, 2), F.col("size")).otherwise(F.raise_error(F.lit("full copies are of plain inputs"))))

@@ -212,3 +212,44 @@ def test_archive_stream(spark, tmp_path):
     for _ in range(2):
         ingest(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 1
+
+
+def test_index_records():
+    from canopy.operators import compressed
+
+    rows = compressed.index_records(b"".join([b"\x01\x00\x10\x00\x05\x00\x00\x00", b"\x02\x00\x00\x00\x03\x08\x02\x00", b"\x02\x00\x00\x00\x02\x00\x01\x00", b"\x00\x80\x20\x00\x08\x00\x01\x00"]))
+    assert [(r["kind"], r["ofs"], r["blkaddr"], r["blocks"], r["back"], r["partial"]) for r in rows] == [(1, 16, 5, None, None, False), (2, None, None, 3, 1, False), (2, None, None, None, 2, False), (0, 32, 65544, None, None, True)]
+    assert compressed.index_records(compressed.pack_records(rows)) == rows
+
+
+def test_extent_records():
+    import struct
+
+    from canopy.operators.compressed import extent_records
+
+    four = struct.pack("<QIII", 4096, 4096, 8192, 100)
+    assert [(e["la"], e["llen"], e["pa"], e["plen"]) for e in extent_records(four, 4, 12, 10000)] == [(0, 4096, 4096, 4096), (4096, 4096, 8192, 8192), (8192, 1808, 16384, 100)]
+    big = struct.pack("<IIII", 10, 1, 1, 0) + struct.pack("<IIII", 20, 2, 0, 5000)
+    assert [(e["la"], e["llen"], e["pa"], e["plen"]) for e in extent_records(big, 16, 12, 9000)] == [(0, 5000, (1 << 32) + 1, 10), (5000, 4000, 2, 20)]
+
+
+def test_local_scan_and_helpers(spark, tmp_path):
+    from canopy.sources import local
+
+    (tmp_path / "a/b").mkdir(parents=True)
+    (tmp_path / "a/b/f").write_bytes(b"123")
+    (tmp_path / "skip").mkdir()
+    (tmp_path / "skip/x").write_bytes(b"")
+    os.symlink("b/f", tmp_path / "a/l")
+    got = {r["path"]: r["size"] for r in local.scan(spark, str(tmp_path), lambda p: p == "skip").collect()}
+    assert got == {"a": 0, "a/b": 0, "a/b/f": 3, "a/l": 3}
+    data = bytes(range(100))
+    assert local.read_range(lambda o, n: (206, data[o : o + n]), 90, 20, 100) == data[90:]
+    assert local.read_range(lambda o, n: (200, data), 5, 3, 100) == data[5:8]
+    assert local.read_range(lambda o, n: (206, data[o : o + n]), 99, 4, 100, fill=True) == b"c\0\0\0"
+    with pytest.raises(OSError):
+        local.read_range(lambda o, n: (404, b""), 0, 1, 100)
+    assert local.length_prefixed(b"\x03\x00abc\0\0\0\x01\x00z") == [b"abc", b"z"]
+    assert local.options("a,^b,c=1", {"a", "b", "c"}) == {"a": True, "b": False, "c": "1"}
+    with pytest.raises(ValueError):
+        local.options("nope", {"a"})
