@@ -57,7 +57,7 @@ def features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         some = [crc(s[i : i + n].encode()) % GRAM_ROWS for n in GRAMS for i in range(len(s) - n + 1)] or [crc(s.encode()) % GRAM_ROWS]
         grams += some
         counts.append(len(some))
-    return np.array(own, np.int64), np.array(grams, np.int64), np.array(counts, np.int64)
+    return np.array(own, np.int32), np.array(grams, np.int32), np.array(counts, np.int64)
 
 
 def window_starts(n: int) -> list[int]:
@@ -94,6 +94,17 @@ class Network:
         letters = np.add.reduceat(self.p["gram"][grams], start, axis=0) / np.sqrt(counts)[:, None].astype(np.float32)
         return np.concatenate([self.p["word"][own], letters], axis=1)
 
+    def word_inputs(self, own: np.ndarray, grams: np.ndarray, counts: np.ndarray, at_once: int = 8192) -> tuple[np.ndarray, np.ndarray]:
+        """The words' inputs to either layer, and those of no word after them; some words at a time."""
+        left, right = (np.tile(self.p[f"b{s}"], (len(own) + 1, 1)) for s in "fb")
+        ends = np.cumsum(counts)
+        for i in range(0, len(own), at_once):
+            j = min(i + at_once, len(own))
+            x = self.inputs(own[i:j], grams[ends[i] - counts[i] : ends[j - 1]], counts[i:j])
+            left[i:j] += x @ self.p["wf"]
+            right[i:j] += x @ self.p["wb"]
+        return left, right
+
     def layer(self, side: str, steps: list[np.ndarray], keep: list | None = None) -> list[np.ndarray]:
         """States after each step; steps: the inputs times w plus b. keep gets what the way back needs."""
         u = self.p[f"u{side}"]
@@ -178,7 +189,8 @@ def fit(texts: list[str], labels: list[int], seed: int = 5) -> Network:
             part = ids[s : s + WINDOW]
             rows.append(part + [-1] * (WINDOW - len(part)))
             owner.append(i)
-    windows, owner = np.array(rows, np.int64), np.array(owner)
+    windows, owner = np.array(rows, np.int32), np.array(owner, np.int32)
+    del rows
     there = windows >= 0
     windows = np.where(there, windows, len(vocab))
     first = np.searchsorted(owner, np.arange(len(texts)))
@@ -193,8 +205,7 @@ def fit(texts: list[str], labels: list[int], seed: int = 5) -> Network:
     weight = np.ones(BATCH, np.float32)
     for step in range(STEPS):
         if step >= STEPS // 5 and step % (STEPS // 10) == 0:  # find each text's highest window anew
-            x = np.vstack([net.inputs(own, grams, counts), np.zeros((1, WORD_DIM + GRAM_DIM), np.float32)]) if vocab else np.zeros((1, WORD_DIM + GRAM_DIM), np.float32)
-            left, right = x @ net.p["wf"] + net.p["bf"], x @ net.p["wb"] + net.p["bb"]
+            left, right = net.word_inputs(own, grams, counts)
             logit = np.concatenate([net.score(left, right, windows[i : i + WINDOWS_AT_ONCE], there[i : i + WINDOWS_AT_ONCE]) for i in range(0, len(windows), WINDOWS_AT_ONCE)])
             order = np.lexsort((logit, owner))
             top = order[np.append(first[1:], len(owner)) - 1]
