@@ -10,7 +10,8 @@ nodes link when 100 * intersection >= 75 * union; the result is each document's
    a forest; jumping pointers gives first components. A group of n copies costs n checks, not n * n.
 3. Second order (rarest first, a token's frequency counted in components). Tokens of one component only cannot link it to
    another, so they fill the prefix first; sets with more than floor(n/4) of them are done. Of the others, tokens of the prefix
-   are joined, and pairs of different components are kept that length and shared-token bounds allow.
+   meet one pivot a token, again in turns, as long as that links components. What is left is joined on these tokens, and pairs
+   of different components are kept that length and shared-token bounds allow.
 4. A pair is verified only if it also shares a prefix token under each of two further orders (hashes of the token): the
    filters are intersected. Verification is exact on whole sets. New links join components.
 
@@ -29,16 +30,19 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from canopy.llm.common import partitions_for, stored, table, text_or_empty
+from canopy.llm.common import give_back, partitions_for, small_batches, stored, table, text_or_empty
 
 WORDS = 5
 #: Bytes of text that are shingled together, about.
-AT_ONCE = 2 << 20
+AT_ONCE = 1 << 19
 #: Index entries of one partition; tokens a batch holds before it sends them.
-ENTRIES, HELD = 1_000_000, 4_000_000
+ENTRIES, HELD = 1_200_000, 500_000
+#: Sets of one bucket; rows that go to Python at once.
+BUCKET, BATCH_ROWS = 500, 1000
 #: Bits of the filter that says which sets are needed again: fixed, so it is broadcast whatever the table's size.
 FILTER_BITS = 24
 
@@ -135,15 +139,14 @@ def extra(n):
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[np.ndarray]]]:
     """(ids, sets) of slices of (id, binary text) batches."""
     for b in batches:
-        texts = b.column(1).to_pylist()
+        ids, column = b.column(0), b.column(1)
+        size = pa.compute.binary_length(column).to_pylist()
         start = held = 0
-        for i, t in enumerate(texts):
-            if held and held + len(t) > AT_ONCE:
-                yield b.column(0).slice(start, i - start), shingle_sets(texts[start:i])
+        for i, n in enumerate([*size, AT_ONCE]):
+            if held and held + n > AT_ONCE or i == len(size) and i > start:
+                yield ids.slice(start, i - start), shingle_sets(column.slice(start, i - start).to_pylist())
                 start, held = i, 0
-            held += len(t)
-        if start < len(texts):
-            yield b.column(0).slice(start), shingle_sets(texts[start:])
+            held += n
 
 
 def runs(sorted_values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -211,8 +214,11 @@ def index_first_order(docs: DataFrame, n_parts: int) -> DataFrame:
             if n_held > HELD:
                 yield from flush(held)
                 held, n_held = {}, 0
+                give_back()
         if held:
             yield from flush(held)
+        del held
+        give_back()
 
     return docs.mapInArrow(work, schema)
 
@@ -235,6 +241,7 @@ def meet_first_order(blocks: DataFrame, n_parts: int) -> DataFrame:
         start, length = runs(token)
         different = sig[start] != sig[start + length - 1]
         pick = np.repeat(different, length)
+        give_back()
         return met_rows(sig[pick], size[pick].astype(np.int64), np.repeat(sig[start], length)[pick], ~counted[pick])
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -377,6 +384,7 @@ def across_components(sets: DataFrame, n_parts: int, n_buckets: int) -> DataFram
         part = (token % np.uint64(n_parts)).astype(np.int64)
         order = np.argsort(part, kind="stable")
         token, g, often, part = token[order], g[order], often[order], part[order]
+        give_back()
         rows = [(int(df["bucket"].iloc[0]), int(part[a]), pack(token[a : a + m]), g[a : a + m].tobytes(), often[a : a + m].tobytes()) for a, m in zip(*[v.tolist() for v in runs(part)], strict=True)]
         return pd.DataFrame(rows, columns=["bucket", "part", "tokens", "g", "often"])
 
@@ -395,6 +403,7 @@ def across_components(sets: DataFrame, n_parts: int, n_buckets: int) -> DataFram
         token, bucket, total = token[order], bucket[order], total[order]
         new = np.append(True, (token[1:] != token[:-1]) | (bucket[1:] != bucket[:-1])) if len(token) else np.zeros(0, bool)
         token, bucket, total = token[new], bucket[new], total[new]
+        give_back()
         rows = [(int(bucket[a]), pack(token[a : a + m]), total[a : a + m].astype(np.int64).tobytes()) for a, m in zip(*[v.tolist() for v in runs(bucket)], strict=True)]
         return pd.DataFrame(rows, columns=["bucket", "tokens", "often"])
 
@@ -426,6 +435,10 @@ def rare_prefixes(sets: DataFrame, often: DataFrame, n_buckets: int) -> DataFram
     return sets.repartition(n_buckets, "bucket").groupBy("bucket").cogroup(often.repartition(n_buckets, "bucket").groupBy("bucket")).applyInPandas(work, "token long, sig long, g long, n long, shared long")
 
 
+#: What two linked sets satisfy: sizes within 3/4, and enough tokens that occur in other components.
+BOUNDS = "4 * least(n, nb) >= 3 * greatest(n, nb) and 175 * least(shared, sb) >= 75 * (n + nb)"
+
+
 def pairs_of(prefixes: DataFrame) -> DataFrame:
     """Distinct pairs (a, b) of different components that share a prefix token and that the bounds allow.
 
@@ -435,12 +448,20 @@ def pairs_of(prefixes: DataFrame) -> DataFrame:
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(4.0 / 3)))
     left = prefixes.withColumn("band", band)
     right = left.select("token", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"), F.col("sig").alias("b"), F.col("g").alias("gb"), F.col("n").alias("nb"), F.col("shared").alias("sb"))
-    fits = (
-        (F.col("g") != F.col("gb")) & (F.col("sig") < F.col("b"))
-        & (4 * F.least("n", "nb") >= 3 * F.greatest("n", "nb"))
-        & (175 * F.least("shared", "sb") >= 75 * (F.col("n") + F.col("nb")))
-    )
-    return left.join(right, ["token", "band"]).filter(fits).select(F.col("sig").alias("a"), "b").distinct()
+    return left.join(right, ["token", "band"]).filter(F.col("g") != F.col("gb")).filter(F.col("sig") < F.col("b")).filter(BOUNDS).select(F.col("sig").alias("a"), "b").distinct()
+
+
+def pivots_of(prefixes: DataFrame, turn: int) -> DataFrame:
+    """Pairs (a, b): each set with the pivot of another component that it met most often; another pivot of each token a turn.
+
+    A token's sets meet its pivot only, so a group of n sets costs n meetings a token.
+    """
+    chance = F.xxhash64(F.lit(turn), "sig")
+    pivot = prefixes.groupBy("token").agg(F.min_by(F.struct(F.col("sig").alias("b"), F.col("g").alias("gb"), F.col("n").alias("nb"), F.col("shared").alias("sb")), F.struct(chance, "sig")).alias("p"), F.count("*").alias("k")).filter("k > 1")
+    met = prefixes.join(pivot.select("token", "p.*"), "token").filter(F.col("g") != F.col("gb")).filter(BOUNDS)
+    counted = met.groupBy("sig", "b").agg(F.count("*").alias("met"))
+    best = counted.groupBy("sig").agg(F.max_by("b", F.struct("met", "b")).alias("b"))
+    return best.select(F.col("sig").alias("a"), "b")
 
 
 def nodes_of(docs: DataFrame) -> DataFrame:
@@ -459,20 +480,41 @@ def link_roots(docs: DataFrame, total: int, sets_total: int) -> DataFrame:
     blocks = index_first_order(docs, n_parts)
     chosen = stored(choose(meet_first_order(blocks, n_parts)), "pivots")
     n_sets = chosen.count()
-    buckets = partitions_for(n_sets, 1500, 12)
+    buckets = partitions_for(n_sets, BUCKET, 12)
     needed = needed_filter(chosen.select("x").union(chosen.filter("pivot is not null").select("pivot")), "x")
     sets = stored(sets_of(docs, needed, buckets), "sets")
     tries = chosen.filter("pivot is not null").select(F.col("x").alias("a"), F.col("pivot").alias("b"))
     first = stored(verified(tries, sets, buckets), "links")
     root = stored(roots(first.select(F.col("a").alias("node"), F.col("b").alias("parent"))), "roots")
-    grouped = stored(grouped_sets(sets, root, buckets), "grouped")
-    often = across_components(grouped, partitions_for(n_sets * max(1, total // max(1, sets_total)), ENTRIES, 12), buckets)
-    more = stored(verified(stored(pairs_of(rare_prefixes(grouped, often, buckets)), "pairs"), sets, buckets), "links")
-    if not more.limit(1).count():
-        return root
+    left, n_left, turn, settled = sets, n_sets, 0, False
+    while True:
+        buckets = partitions_for(n_left, BUCKET, 12)
+        grouped = stored(grouped_sets(left, root, buckets), "grouped")
+        often = across_components(grouped, partitions_for(n_left * max(1, total // max(1, sets_total)), ENTRIES, 12), buckets)
+        prefixes = stored(rare_prefixes(grouped, often, buckets), "prefixes")
+        open_sets = stored(prefixes.select("sig").distinct(), "open")
+        n_left = open_sets.count()
+        if not n_left:
+            return root
+        # a set that passed no filter above cannot pass later: components only grow, so tokens only get rarer
+        left = stored(left.join(open_sets, "sig", "left_semi"), "sets")
+        if settled:
+            break
+        more = stored(verified(pivots_of(prefixes, turn), left, buckets), "links")
+        turn += 1
+        found = more.count()
+        settled = found * 100 < n_left  # few links are left to find: look at all pairs that may be one
+        if found:
+            root = stored(joined_roots(root, more), "roots")
+    more = stored(verified(stored(pairs_of(prefixes), "pairs"), left, buckets), "links")
+    return joined_roots(root, more) if more.limit(1).count() else root
+
+
+def joined_roots(root: DataFrame, links: DataFrame) -> DataFrame:
+    """node, root after further links (a, b)."""
     of = root.select(F.col("node").alias("sig"), "root")
     end = lambda c: F.coalesce(F.col(f"r{c}"), F.col(c))
-    joined = more.join(of.select(F.col("sig").alias("a"), F.col("root").alias("ra")), "a", "left").join(of.select(F.col("sig").alias("b"), F.col("root").alias("rb")), "b", "left")
+    joined = links.join(of.select(F.col("sig").alias("a"), F.col("root").alias("ra")), "a", "left").join(of.select(F.col("sig").alias("b"), F.col("root").alias("rb")), "b", "left")
     higher = components(joined.select(end("a").alias("a"), end("b").alias("b")))
     top = higher.select(F.col("node").alias("root"), F.col("root").alias("top"))
     moved = root.join(top, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
@@ -482,9 +524,10 @@ def link_roots(docs: DataFrame, total: int, sets_total: int) -> DataFrame:
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.encode(text_or_empty(text), "UTF-8").alias("text"))
-    nodes = stored(nodes_of(rows), "nodes")
-    total, n_nodes = nodes.agg(F.coalesce(F.sum("n_shingles"), F.lit(0)), F.count("*")).first()
-    root = stored(link_roots(rows, total, n_nodes), "roots")
+    with small_batches(docs.sparkSession, BATCH_ROWS):
+        nodes = stored(nodes_of(rows), "nodes")
+        total, n_nodes = nodes.agg(F.coalesce(F.sum("n_shingles"), F.lit(0)), F.count("*")).first()
+        root = stored(link_roots(rows, total, n_nodes), "roots")
     by_sig = nodes.filter("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"))
     top = by_sig.join(root.select(F.col("node").alias("sig"), "root"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
     # only sets with copies or links differ from their own id: the rest need no second look
