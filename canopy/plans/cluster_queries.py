@@ -44,7 +44,7 @@ query("s8_layer_numbers", f"""WITH {vfs.FILES} SELECT path, CAST(max(CASE lang W
 query("c6_coded_sizes", None)(lambda s, d: codecs.sizes(_files(s, d), "deflate", 6))
 query("c2_c3_clusters", None)(lambda s, d: compressed.keep_coded(compressed.encoded_clusters(_files(s, d), 4096, "zstd"), vfs.files(s, d)))
 query("d4_shared_clusters", None)(lambda s, d: compressed.shared_clusters(compressed.encoded_clusters(_files(s, d), 4096, "zstd")))
-query("h_crc32c", None)(lambda s, d: _files(s, d).select("path", hashes.crc32c_column(F.substring("content", 1, 64)).alias("crc32c")))
+query("h_crc32c", None)(lambda s, d: _files(s, d).select("path", hashes.crc32c_column(F.col("content")).alias("crc32c")))
 query("h_xxh64", None)(lambda s, d: _files(s, d).select("path", hashes.xxh64_column(F.col("content")).alias("xxh64")))
 
 

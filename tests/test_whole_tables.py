@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from canopy.functions import codecs
+from canopy.functions import codecs, hashes
 from canopy.plans.catalog import QUERIES
 
 
@@ -37,3 +37,28 @@ def test_clusters_of_all_files(spark, corpus):
     found = {(r["digest"], r["plen"], r["raw"]): (r["n"], r["owner_path"], r["owner_la"]) for r in QUERIES["d4_shared_clusters"](spark, folder).collect()}
     assert found == {k: (len(v), *min(v)) for k, v in shared.items()}
     assert max(n for n, _, _ in found.values()) >= 3
+
+
+def brute_crc(data, crc=0xFFFFFFFF):
+    for b in data:
+        crc ^= b
+        for _ in range(8):
+            crc = crc >> 1 ^ 0x82F63B78 * (crc & 1)
+    return crc
+
+
+def test_checksum_of_any_length():
+    rng = random.Random(7)
+    for n in (0, 1, 4, 255, 1023, 1024, 1025, 2047, 2048, 5000):
+        data = rng.randbytes(n)
+        assert hashes.crc32c(data) == brute_crc(data) and hashes.crc32c(data, 0x1234) == brute_crc(data, 0x1234)
+    data = bytes(1100 << 10)
+    assert hashes.crc32c(data + b"1") == hashes.crc32c(b"1", hashes.crc32c(data))
+    assert hashes.crc32c(data[: 1 << 20]) == hashes.crc32c(data[: 1 << 19], hashes.crc32c(data[: 1 << 19]))
+
+
+def test_checksum_of_whole_files(spark, corpus):
+    folder, files = corpus
+    found = {r["path"]: r["crc32c"] for r in QUERIES["h_crc32c"](spark, folder).collect()}
+    assert found == {p: None if c is None else brute_crc(c) for p, c in files.items()}
+    assert found["de/web/12.txt"] != found["en/web/8.txt"]  # they differ in their last bytes
