@@ -53,24 +53,83 @@ def tail_groups(files: DataFrame, content: str = "content", length: int = 64) ->
 
 
 def suffix_matches(files: DataFrame, content: str = "content", length: int = 64, whole_only: bool = False) -> DataFrame:
-    """path, match_path, match_len: each file's longest common suffix with the group's first file of that tail.
+    """path, match_path, match_len: each file's longest common suffix with any file of smaller path, `length` bytes at least.
 
-    Every file is measured against the first of its tail, by a join on that file, so a group of n files costs n measurements.
+    Of several files with that suffix the least path is given; files are of more than `length` bytes. Suffixes meet by digest,
+    never in pairs: first those of length, 2 length, 4 length and so on, then sixteenths of the range that is left, down to single
+    bytes. A file matches at a length when the least path with its digest is smaller. Files that find none at the next length
+    differ there from each other, so a range is settled among them and the least path of the suffix they share, and all rounds
+    together keep no more than two rows a file.
     """
+    from canopy.plans.scratch import stored
+
     c = F.col(content).cast("binary")
-    t = files.filter(F.octet_length(c) > length).select("path", c.alias("c"), F.sha2(F.expr(f"substring(cast({content} as binary), -{length}, {length})"), 256).alias("tail"))
-    first = t.groupBy("tail").agg(F.min("path").alias("match_path"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    pairs = t.join(first, "tail").filter("path <> match_path").join(t.select(F.col("path").alias("match_path"), F.col("c").alias("d")), "match_path").select("path", "match_path", "c", "d")
+    t = files.filter(F.octet_length(c) > length).select("path", c.alias("c"))
+    start = t.select("path", "c", F.lit(b"").alias("key"), F.lit(0).cast("long").alias("lo"), F.lit(0).cast("long").alias("width"))
+    open_ = stored(_longer_suffixes(_suffix_digests(start, length)), "suffixes")
+    done = open_.filter("width = 1")
+    open_ = open_.filter("width > 1")
+    # lengths of a range need no more of a file than its end
+    need = open_.select("path", "lo").unionByName(open_.select(F.col("match_path").alias("path"), "lo")).groupBy("path").agg(F.max("lo").alias("most"))
+    ends = stored(t.join(need, "path").select("path", F.expr("substring(c, -cast(least(2 * most, octet_length(c)) as int))").alias("c")), "suffix-ends")
+    while open_.limit(1).count():
+        own = open_.select("path", "key", "lo", "width")
+        members = own.unionByName(open_.select(F.col("match_path").alias("path"), "key", "lo", "width").distinct())
+        further = _longer_suffixes(_suffix_digests(members.join(ends, "path").select("path", "c", "key", "lo", "width"), length))
+        step = F.greatest(F.floor(F.col("width") / 16), F.lit(1)).cast("long")
+        moved = further.select("path", *[F.col(x).alias(f"_{x}") for x in ("key", "lo", "width", "match_path")])
+        # who finds nothing stays with its match, and its range ends at the first step
+        now = open_.withColumn("width", step).join(moved, "path", "left").select("path", *[F.coalesce(f"_{x}", x).alias(x) for x in ("key", "lo", "width", "match_path")])
+        now = stored(now, "suffixes")
+        done, open_ = done.unionByName(now.filter("width = 1")), now.filter("width > 1")
+    out = done.select("path", "match_path", F.col("lo").alias("match_len"))
+    if whole_only:
+        out = out.join(t.select("path", F.octet_length("c").alias("size")), "path").filter("match_len = size").drop("size")
+    return out
+
+
+def _suffix_digests(members: DataFrame, length: int) -> DataFrame:
+    """path, key, lo, width: digests of the suffixes of the next lengths lo of each member, and the width of the range after each.
+
+    members: path, c, key (of the suffix of length lo), lo, width: lengths below lo + width are open; 0: all.
+    """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import hashlib
+
         for b in batches:
-            n = [common_suffix(x.as_py(), y.as_py()) for x, y in zip(b.column(2), b.column(3), strict=True)]
-            out = pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64())], names=["path", "match_path", "match_len"])
-            if whole_only:
-                out = out.filter(pa.array([k == len(x.as_py()) for k, x in zip(n, b.column(2), strict=True)]))
-            yield out
+            rows = []
+            for path, c, key, lo, width in zip(*(x.to_pylist() for x in b.columns), strict=True):
+                if width:
+                    step = max(1, width // 16)
+                    ends = [(n, step) for n in range(lo + step, min(lo + width, len(c) + 1), step)]
+                else:
+                    ends = [(n, n) for k in range(len(c).bit_length()) if (n := length << k) <= len(c)]
+                h, at = hashlib.blake2b(key, digest_size=16), lo
+                for n, w in ends:
+                    h.update(c[len(c) - n : len(c) - at])
+                    at = n
+                    rows.append((path, h.digest() + n.to_bytes(8, "big"), n, w))
+            if rows:
+                path, key, lo, width = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(path, pa.string()), pa.array(key, pa.binary()), pa.array(lo, pa.int64()), pa.array(width, pa.int64())], names=["path", "key", "lo", "width"])
+
+    return members.mapInArrow(work, "path string, key binary, lo long, width long")
+
 
-    return pairs.mapInArrow(work, "path string, match_path string, match_len long")
+def _longer_suffixes(digests: DataFrame, salts: int = 64) -> DataFrame:
+    """path, key, lo, width, match_path: of each path, its longest suffix that a smaller path has, and the least path that has it.
+
+    The groups' rows are dealt several times, so that no task has all files of one suffix.
+    """
+    from canopy.plans.scratch import stored
+
+    digests = stored(digests, "suffix-digests")
+    least = digests.groupBy("key").agg(F.min("path").alias("match_path"), F.max("path").alias("last")).filter("match_path < last").drop("last")
+    dealt = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    met = digests.withColumn("salt", F.pmod(F.xxhash64("path"), F.lit(salts)).cast("int")).join(dealt, ["key", "salt"]).filter("match_path < path")
+    best = met.groupBy("path").agg(F.max_by(F.struct("key", "lo", "width", "match_path"), "lo").alias("b"))
+    return best.select("path", "b.*")
 
 
 def common_suffix(a: bytes, b: bytes) -> int:

@@ -5,6 +5,7 @@ import random
 import pytest
 
 from canopy.functions import codecs, hashes
+from canopy.operators import dedupe
 from canopy.plans.catalog import QUERIES
 
 
@@ -62,3 +63,34 @@ def test_checksum_of_whole_files(spark, corpus):
     found = {r["path"]: r["crc32c"] for r in QUERIES["h_crc32c"](spark, folder).collect()}
     assert found == {p: None if c is None else brute_crc(c) for p, c in files.items()}
     assert found["de/web/12.txt"] != found["en/web/8.txt"]  # they differ in their last bytes
+
+
+def brute_suffixes(files):
+    """path: (match_path, match_len), the longest common suffix with a smaller path, of these the least path."""
+    out = {}
+    for p, c in files.items():
+        for q, d in sorted(files.items()):
+            if q < p and min(len(c), len(d)) > 64 and (n := dedupe.common_suffix(c, d)) >= 64 and n > out.get(p, ("", 0))[1]:
+                out[p] = (q, n)
+    return out
+
+
+def test_longest_suffix_of_any_file(spark):
+    rng = random.Random(11)
+    foot, files = rng.randbytes(70), {"A": b"a" * 300, "B": b"b" * 500, "C": b"b" * 500}
+    files = {p: c + foot for p, c in files.items()}
+    ends = [foot]
+    for _ in range(70):  # each file grows from the end of an earlier one
+        base = rng.choice(ends)
+        ends.append(rng.randbytes(rng.choice([0, 1, 3, 64, 130, 900])) + base[-rng.choice([64, 65, 70, 127, 128, 129, 300, 3000]) :])
+        if rng.random() < 0.2:
+            ends.append(ends[-1])
+    names = [f"f{i}" for i in range(len(ends))]
+    rng.shuffle(names)
+    files |= dict(zip(names, ends, strict=True))
+    df = spark.createDataFrame([(p, bytearray(c)) for p, c in files.items()], "path string, content binary")
+    true = brute_suffixes(files)
+    found = {r["path"]: (r["match_path"], r["match_len"]) for r in dedupe.suffix_matches(df).collect()}
+    assert found["C"] == ("B", 570) and found == true
+    whole = {r["path"]: (r["match_path"], r["match_len"]) for r in dedupe.suffix_matches(df, whole_only=True).collect()}
+    assert "C" in whole and whole == {p: v for p, v in true.items() if v[1] == len(files[p])}
