@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from canopy.llm.bpe import token_digests
 from canopy.llm.common import stored, table
-from canopy.llm.jaccard import near_duplicates
+from canopy.llm.jaccard import classes_and_roots, with_root
 from canopy.llm.mixing import mixed
 from canopy.llm.secret_scan import redacted
 from canopy.llm.toxicity import THRESHOLD, train, with_score
@@ -24,13 +24,16 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near copies: the smallest id. Rows without an id stay where no row of theirs has one."""
-    classes = near_duplicates(docs).select("doc_id", "component_id")
+    """One document of each component of near copies: the smallest id. Of rows without an id one of each component stays where any
+    component has no id; rows without shingles are copies where their texts are equal."""
+    classes, root = classes_and_roots(docs)
     keep = classes.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
     with_id = docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
     if not classes.filter("doc_id is null and component_id is null").limit(1).count():
         return with_id.select(docs.columns)
-    return with_id.select(docs.columns).unionByName(docs.filter("doc_id is null").dropDuplicates(["text"]))
+    without = with_root(docs.filter("doc_id is null").dropDuplicates(["text"]), root)
+    one = without.groupBy("root", F.when(F.col("root").isNull(), F.col("text")).alias("__text")).agg(F.min_by(F.struct(*docs.columns), F.coalesce("text", F.lit(""))).alias("__row"))
+    return with_id.select(docs.columns).unionByName(one.select("__row.*"))
 
 
 def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
