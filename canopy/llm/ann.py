@@ -9,12 +9,14 @@ queries that visit them, leaf by leaf; a leaf with many rows is salted into boun
 
 Nearness is the inner product in double precision. Cases: vectors that are null, zero or have null or non-finite components,
 or another length than most of the sample, take no part; with fewer candidates than k all are returned; ties go to the
-smaller id; repeated rows are candidates each, but a query's own id never is; an empty table gives an empty result; further
+smaller id; repeated rows are candidates each, but a query's own id never is;
+equal query rows are one query, and each vector of an id with several is a query of its own with its own ranks; an empty table gives an empty result; further
 columns are not read.
 """
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -275,14 +277,14 @@ def best(ids: np.ndarray, x: np.ndarray, leaf: np.ndarray, query_ids: np.ndarray
             near.append(ids[a + top][ok])
             got.append(value[ok])
     if not who:
-        return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
+        return pd.DataFrame({"asker": [], "query_id": [], "vec_id": [], "score": []}).astype({"asker": "int64", "query_id": "int64", "vec_id": "int64", "score": "float64"})
     who, near, got = np.concatenate(who), np.concatenate(near), np.concatenate(got)
     order = np.lexsort((near, -got, who))
     who, near, got = who[order], near[order], got[order]
     start = np.flatnonzero(np.append(True, who[1:] != who[:-1])) if len(who) else np.zeros(0, np.int64)
     nth = np.arange(len(who)) - np.repeat(start, np.diff(np.append(start, len(who))))
     keep = nth < k
-    return pd.DataFrame({"query_id": query_ids[who[keep]], "vec_id": near[keep], "score": got[keep]})
+    return pd.DataFrame({"asker": who[keep], "query_id": query_ids[who[keep]], "vec_id": near[keep], "score": got[keep]})
 
 
 RESULT = "query_id long, rank int, vec_id long, score double"
@@ -302,19 +304,23 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec_
     layout = Layout.of(size)
     where = spark.createDataFrame([(leaf, layout.part[leaf], layout.blocks[leaf]) for leaf in size], "leaf int, part int, blocks int")
     dealt = placed.join(F.broadcast(where), "leaf").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int")).select("part", "block", "leaf", "vec_id", "v")
-    asked = with_visits(sound(queries, key, column), tree, layout, k)
     n_parts = partitions_for(sum(size.values()), 2 * PART_ROWS, 32)
+    asked = with_visits(sound(queries, key, column).repartition(n_parts, "vec_id").dropDuplicates(["vec_id", "v"]), tree, layout, k)
 
     def meet(_key, left: pa.Table, right: pa.Table) -> pa.Table:
         if left.num_rows and right.num_rows:
             matrix = lambda c: c.combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(c), -1)
             leaves = [np.array(v) for v in right["leaves"].to_pylist()]
-            found = best(left["vec_id"].to_numpy(), matrix(left["v"]), left["leaf"].to_numpy(), right["query_id"].to_numpy(), matrix(right["q"]), right["least"].to_numpy(), leaves, k)
-            return pa.Table.from_pandas(found, pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())]), preserve_index=False)
-        return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-
-    found = dealt.repartition(n_parts, "part", "block").groupBy("part", "block").cogroup(asked.repartition(n_parts, "part", "block").groupBy("part", "block")).applyInArrow(meet, "query_id long, vec_id long, score double")
-    w = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+            q = matrix(right["q"])
+            found = best(left["vec_id"].to_numpy(), matrix(left["v"]), left["leaf"].to_numpy(), right["query_id"].to_numpy(), q, right["least"].to_numpy(), leaves, k)
+            mark = np.array([int.from_bytes(hashlib.blake2b(v.tobytes(), digest_size=8).digest(), "little", signed=True) for v in q], np.int64)
+            found["vector"] = mark[found["asker"].to_numpy()]
+            found = found[["query_id", "vector", "vec_id", "score"]]
+            return pa.Table.from_pandas(found, pa.schema([("query_id", pa.int64()), ("vector", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())]), preserve_index=False)
+        return pa.table({"query_id": pa.array([], pa.int64()), "vector": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+
+    found = dealt.repartition(n_parts, "part", "block").groupBy("part", "block").cogroup(asked.repartition(n_parts, "part", "block").groupBy("part", "block")).applyInArrow(meet, "query_id long, vector long, vec_id long, score double")
+    w = W.partitionBy("query_id", "vector").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
