@@ -34,6 +34,8 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 RUN = re.compile(r"[A-Za-z0-9+/_=.-]{20,}")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
+#: Candidates for keys: hex digits of either case.
+HEX_DIGITS = re.compile(r"[0-9A-Fa-f]+")
 TOKEN = re.compile(r"(?<![A-Za-z0-9_-])([A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]*)")
 ENCODED = re.compile(r"[A-Za-z0-9+/_-]{32,}={0,2}")
 ARMOUR = re.compile(r"-----BEGIN [A-Z0-9 ]{0,40}KEY-----([A-Za-z0-9+/=\s]*)-----END [A-Z0-9 ]{0,40}KEY-----")
@@ -123,6 +125,10 @@ def is_key(data: bytes | None) -> bool:
     return data is not None and len(data) >= LEAST_KEY_BYTES and (is_der_key(data) or is_ssh_key(data))
 
 
+def is_hex_key(text: str) -> bool:
+    return len(text) % 2 == 0 and is_key(bytes.fromhex(text))
+
+
 def is_token_header(part: str) -> bool:
     data = from_base64(part)
     if not data or data[:1] != b"{":
@@ -147,13 +153,16 @@ def scan(text: str) -> list[tuple[int, int, str]]:
         for m in HEX.finditer(s):
             if len(m[0]) >= 24:
                 out.append((at + m.start(), at + m.end(), "hex"))
-                if len(m[0]) % 2 == 0 and is_key(bytes.fromhex(m[0])):
-                    out.append((at + m.start(), at + m.end(), "key"))
+        keys = []
+        for m in HEX_DIGITS.finditer(s):
+            if len(m[0]) >= 2 * LEAST_KEY_BYTES:
+                keys += [m.span()] if is_hex_key(m[0]) else [n.span() for n in HEX.finditer(s, *m.span()) if is_hex_key(n[0])]
         if "." in s:
             out += [(at + m.start(), at + m.end(), "jwt") for m in TOKEN.finditer(s) if is_token_header(m[1])]
         for m in ENCODED.finditer(s):
-            if not HEX.fullmatch(m[0]) and is_key(from_base64(m[0])):
-                out.append((at + m.start(), at + m.end(), "key"))
+            if not HEX.fullmatch(m[0]) and not any(a < m.end() and m.start() < b for a, b in keys) and is_key(from_base64(m[0])):
+                keys.append(m.span())
+        out += [(at + a, at + b, "key") for a, b in keys]
     if "-----BEGIN " in text:
         for m in ARMOUR.finditer(text):
             if is_key(from_base64("".join(m[1].split()))):
