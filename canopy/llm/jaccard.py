@@ -1,22 +1,27 @@
 """N-gram Jaccard join under several global token orders, without all-pairs work inside groups of copies.
 
 A text's set is its distinct 5-word shingles. Texts with equal sets are one node (`sig`, a 64-bit digest of the set). Two
-nodes link when 100 * intersection >= 75 * union; the result is each document's connected component. Steps:
+nodes link when 100 * intersection >= 75 * union; the result is each document's connected component. Linked sets of n and m
+tokens differ in (n + m) / 7 tokens at most. Every candidate pair shares prefix tokens under three orders, and these filters are
+intersected before any set is fetched for verification. Steps:
 
 1. First order (by token value). Of each set its first q = floor(n/4) + ceil(n/12) tokens are indexed. A set with a partner
    shares at least ceil(n/12) of these with some other set; sets that do not are done. Tokens settled inside a batch leave it
-   once, so a token of a third of all texts costs one entry a batch.
-2. Each remaining set is checked against one pivot, the smaller set it met most often under that order. Links to pivots form
-   a forest; jumping pointers gives first components. A group of n copies costs n checks, not n * n.
-3. Second order (rarest first, a token's frequency counted in components). Tokens of one component only cannot link it to
-   another, so they fill the prefix first; sets with more than floor(n/4) of them are done. Of the others, tokens of the prefix
-   meet one pivot a token, again in turns, as long as that links components. What is left is joined on these tokens, and pairs
-   of different components are kept that length and shared-token bounds allow.
-4. A pair is verified only if it also shares a prefix token under each of two further orders (hashes of the token): the
-   filters are intersected. Verification is exact on whole sets. New links join components.
-
-No link between different texts is lost: a linked pair in different components passes every filter. Digests: shingles have 64
-bits (48 in the filters and in verification), sets 64, so results are exact but for collisions of those digests.
+   once, so a token of a third of all texts costs one entry a batch. Each remaining set is a candidate with one pivot, the
+   smaller set it met most often; links to pivots form a forest, jumping pointers gives first components.
+2. Rarity order (a token's frequency counted in components). Tokens of one component only cannot link it to another, so they fill
+   the prefix first; sets with more than floor(n/4) of them are done. Each token left in prefixes has a reference: of its sets
+   the one that meets most others. Sets are candidates with the references of their tokens, one a foreign component: a group of n
+   copies costs n candidates a reference, not n * n.
+3. The order again, with the components so far. All sets that share a prefix token belong to the family of its reference p. Near
+   members are compared by what they do not share with p: A and B link only if the differences A ^ p and B ^ p share
+   (|A ^ p| + |B ^ p| - (n + m) / 7) / 2 tokens, and at least one unless both link to p. In a group of near copies nearly all
+   tokens are common but differences are rare, so prefixes of differences, rarest first, name few pairs. Members far from p that
+   may link to none of the near ones meet on the token itself.
+
+Orders two and three of every step are rarity classes (step 1: none), then hashes of the token. Verification is exact on whole
+sets. No link between different texts is lost: a linked pair in different components passes every filter. Digests: shingles have
+64 bits (48 in the filters and in verification), sets 64, so results are exact but for collisions of those digests.
 
 Cases: null and empty texts have the empty set and link with nothing; texts of under five words have one shingle; equal and
 repeated rows are one node; a row whose id is null takes part, and its component is the smallest id that is not null (null if
@@ -42,8 +47,8 @@ WORDS = 5
 AT_ONCE = 1 << 19
 #: Index entries of one partition; tokens a batch holds before it sends them.
 ENTRIES, HELD = 1_200_000, 500_000
-#: Sets of one bucket; rows that go to Python at once.
-BUCKET, BATCH_ROWS = 500, 1000
+#: Tokens of one bucket of sets; rows that go to Python at once.
+BUCKET, BATCH_ROWS = 400_000, 256
 #: Bits of the filter that says which sets are needed again: fixed, so it is broadcast whatever the table's size.
 FILTER_BITS = 24
 
@@ -272,10 +277,20 @@ def needed_filter(ids: DataFrame, column: str) -> np.ndarray:
     return np.unpackbits(bits.astype("<u4").view(np.uint8), bitorder="little").astype(bool)
 
 
+SEEDS = (np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB))
+
+
+def further_prefixes(tokens: np.ndarray, k: int, count: np.ndarray | None = None) -> list[np.ndarray]:
+    """The first k tokens under each further order: by rarity class (log2 of count), then by hash; signed, for Spark."""
+    rank = np.zeros(len(tokens)) if count is None else np.floor(np.log2(count))
+    return [tokens[np.lexsort((mix(tokens ^ seed), rank))[:k]].astype(np.int64) for seed in SEEDS]
+
+
 def sets_of(docs: DataFrame, needed: np.ndarray, n_parts: int) -> DataFrame:
-    """sig, n, tokens of the sets that the filter lets through, one row a set."""
+    """sig, n, tokens, second, third of the sets that the filter lets through, one row a set."""
     shared = docs.sparkSession.sparkContext.broadcast(np.packbits(needed))
     mask = (1 << FILTER_BITS) - 1
+    types = [pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.unpackbits(shared.value).astype(bool)
@@ -286,40 +301,41 @@ def sets_of(docs: DataFrame, needed: np.ndarray, n_parts: int) -> DataFrame:
                 if len(s) and bits[(sig := signature(s)) & mask] and sig not in seen:
                     seen.add(sig)
                     t = tokens_of(s)
-                    out.append((sig, len(t), pack(t)))
+                    out.append((sig, len(t), pack(t), *further_prefixes(t, spare(len(t)) + 1)))
             if len(seen) > 200_000:
                 seen.clear()
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), [pa.int64(), pa.int64(), pa.binary()], strict=True)], names=["sig", "n", "tokens"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=["sig", "n", "tokens", "second", "third"])
 
-    return docs.mapInArrow(work, "sig long, n long, tokens binary").repartition(n_parts, "sig").dropDuplicates(["sig"])
+    schema = "sig long, n long, tokens binary, second array<long>, third array<long>"
+    return docs.mapInArrow(work, schema).repartition(n_parts, "sig").dropDuplicates(["sig"])
 
 
-SEEDS = (np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB))
-
-
-def share_prefix(a: np.ndarray, b: np.ndarray, seed: np.uint64) -> bool:
-    """Whether the prefixes of two sets under the order of a hash share a token."""
-    tops = []
-    for t in (a, b):
-        k = spare(len(t)) + 1
-        h = mix(t ^ seed)
-        tops.append(np.partition(h, k - 1)[:k] if k < len(h) else h)
-    both = np.sort(np.concatenate(tops))
-    return bool((both[1:] == both[:-1]).any())
+def common(a: np.ndarray, b: np.ndarray) -> int:
+    both = np.sort(np.concatenate([a, b]), kind="stable")
+    return int((both[1:] == both[:-1]).sum())
 
 
 def linked(a: np.ndarray, b: np.ndarray) -> bool:
-    """The filters of the further orders, then the exact test on whole sets (sorted, distinct)."""
+    """The exact test on whole sets (sorted, distinct)."""
     n, m = len(a), len(b)
-    if 4 * min(n, m) < 3 * max(n, m) or not all(share_prefix(a, b, s) for s in SEEDS):
+    if 4 * min(n, m) < 3 * max(n, m):
         return False
-    both = np.sort(np.concatenate([a, b]), kind="stable")
-    same = int((both[1:] == both[:-1]).sum())
+    same = common(a, b)
     return 100 * same >= 75 * (n + m - same)
 
 
-def verified(pairs: DataFrame, sets: DataFrame, n_parts: int) -> DataFrame:
+def intersected(pairs: DataFrame, prefixes: DataFrame) -> DataFrame:
+    """The pairs (family, a, b), found under one order, that also share a prefix token under both further orders.
+
+    prefixes: family, sig, second, third.
+    """
+    side = lambda c: prefixes.select("family", F.col("sig").alias(c), F.col("second").alias(f"{c}2"), F.col("third").alias(f"{c}3"))
+    both = pairs.join(side("a"), ["family", "a"]).join(side("b"), ["family", "b"])
+    return both.filter(F.arrays_overlap("a2", "b2") & F.arrays_overlap("a3", "b3")).select("a", "b").distinct()
+
+
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) that link. Rows stream through; a set that many pairs name is split by the join, not gathered."""
     left = pairs.join(sets.select(F.col("sig").alias("a"), F.col("tokens").alias("ta")), "a")
     both = left.join(sets.select(F.col("sig").alias("b"), F.col("tokens").alias("tb")), "b").select("a", "b", "ta", "tb")
@@ -359,11 +375,17 @@ def components(edges: DataFrame) -> DataFrame:
         now = small
 
 
-def grouped_sets(sets: DataFrame, root: DataFrame, n_buckets: int) -> DataFrame:
-    """bucket, sig, g, n, tokens: sets with their component so far."""
-    return sets.join(root.select(F.col("node").alias("sig"), F.col("root").alias("g")), "sig", "left").select(
-        F.pmod(F.xxhash64("sig"), F.lit(n_buckets)).cast("int").alias("bucket"), "sig", F.coalesce("g", "sig").alias("g"), "n", "tokens"
-    )
+def buckets_for(sets: DataFrame) -> tuple[DataFrame, int]:
+    """The sets dealt to buckets of about BUCKET tokens by their id, and how many buckets there are."""
+    total = sets.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    n = partitions_for(total, BUCKET, 12)
+    return sets.withColumn("bucket", F.pmod(F.xxhash64("family", "sig"), F.lit(n)).cast("int")), n
+
+
+def whole_sets(sets: DataFrame, root: DataFrame) -> DataFrame:
+    """Sets with their component so far, as members of no family: a partner must share ceil(3n/4) tokens."""
+    of = root.select(F.col("node").alias("sig"), F.col("root").alias("g"))
+    return sets.join(of, "sig", "left").select(F.lit(0).cast("long").alias("family"), "sig", F.coalesce("g", "sig").alias("g"), "n", F.col("n").alias("size"), F.expr("n - n div 4").alias("need"), "tokens")
 
 
 def across_components(sets: DataFrame, n_parts: int, n_buckets: int) -> DataFrame:
@@ -371,7 +393,7 @@ def across_components(sets: DataFrame, n_parts: int, n_buckets: int) -> DataFram
 
     def index(df: pd.DataFrame) -> pd.DataFrame:
         token = np.concatenate([unpack(t) for t in df["tokens"]])
-        g = np.repeat(df["g"].to_numpy(), df["n"].to_numpy())
+        g = np.repeat(df["g"].to_numpy(), df["size"].to_numpy())
         order = np.lexsort((g, token))
         token, g = token[order], g[order]
         new = np.append(True, (token[1:] != token[:-1]) | (g[1:] != g[:-1]))
@@ -412,8 +434,15 @@ def across_components(sets: DataFrame, n_parts: int, n_buckets: int) -> DataFram
     return blocks.repartition(n_parts, "part").groupBy("part").applyInPandas(lambda df: settle(df), "bucket int, tokens binary, often binary")
 
 
+PREFIXES = "family long, sig long, g long, n long, size long, shared long, first array<long>, second array<long>, third array<long>"
+
+
 def rare_prefixes(sets: DataFrame, often: DataFrame, n_buckets: int) -> DataFrame:
-    """token, sig, g, n, shared: the prefix tokens, rarest first, of sets that may link to another component."""
+    """The prefixes under three orders of the sets that may link to another component, one row a set.
+
+    shared: how many of its tokens occur in other components. A partner must share `need` tokens, all of them among these.
+    """
+    names = [f.split()[0] for f in PREFIXES.split(", ")]
 
     def work(_key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -421,48 +450,94 @@ def rare_prefixes(sets: DataFrame, often: DataFrame, n_buckets: int) -> DataFram
             token, count = np.concatenate([unpack(t) for t in right["tokens"]]), np.concatenate([np.frombuffer(x, np.int64) for x in right["often"]])
             order = np.argsort(token)
             token, count = token[order], count[order]
-            for sig, g, n, own in zip(left["sig"], left["g"], left["n"], left["tokens"], strict=True):
+            for family, sig, g, n, size, need, own in zip(*[left[c] for c in ("family", "sig", "g", "n", "size", "need", "tokens")], strict=True):
                 own = unpack(own)
                 at = np.minimum(np.searchsorted(token, own), len(token) - 1)
                 there = token[at] == own
                 shared = int(there.sum())
-                take = spare(n) + 1 - (n - shared)
+                take = shared - need + 1
                 if take > 0:
                     own, c = own[there], count[at[there]]
-                    first = np.lexsort((own, c))[:take]
-                    out.append(pd.DataFrame({"token": own[first].astype(np.int64), "sig": sig, "g": g, "n": n, "shared": shared}))
-        return pd.concat(out) if out else pd.DataFrame({k: pd.Series(dtype="int64") for k in ("token", "sig", "g", "n", "shared")})
+                    out.append((family, sig, g, n, size, shared, own[np.lexsort((own, c))[:take]].astype(np.int64), *further_prefixes(own, take, c)))
+        give_back()
+        return pd.DataFrame(out, columns=names)
+
+    return sets.repartition(n_buckets, "bucket").groupBy("bucket").cogroup(often.repartition(n_buckets, "bucket").groupBy("bucket")).applyInPandas(work, PREFIXES)
+
+
+def open_prefixes(sets: DataFrame, name: str) -> DataFrame:
+    """PREFIXES rows of sets (family, sig, g, n, size, need, tokens), stored."""
+    dealt, n = buckets_for(sets)
+    dealt = stored(dealt, f"{name}-dealt")
+    tokens = dealt.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    return stored(rare_prefixes(dealt, across_components(dealt, partitions_for(tokens, ENTRIES, 12), n), n), name)
+
+
+#: What linked whole sets satisfy: sizes within 3/4, and enough tokens that occur in other components.
+BOUNDS = "4 * least(n, nb) >= 3 * greatest(n, nb) and 7 * least(shared, sb) >= 3 * (n + nb)"
+
+
+def members(prefixes: DataFrame) -> DataFrame:
+    """token, sig, g, n, shared, family: each prefix token of each set, with the token's reference.
 
-    return sets.repartition(n_buckets, "bucket").groupBy("bucket").cogroup(often.repartition(n_buckets, "bucket").groupBy("bucket")).applyInPandas(work, "token long, sig long, g long, n long, shared long")
+    A token's reference is that of its sets that meets most others, for its size; a large group mostly has one.
+    """
+    rows = prefixes.select(F.explode("first").alias("token"), "sig", "g", "n", "shared")
+    several = rows.groupBy("token").agg(F.count("*").alias("k")).filter("k > 1")
+    weight = rows.join(several, "token").groupBy("sig").agg((F.sum("k") / F.first("n")).alias("w"))
+    reference = rows.join(several.select("token"), "token").join(weight, "sig").groupBy("token").agg(F.max_by("sig", F.struct("w", "sig")).alias("family"))
+    return rows.join(reference, "token")
+
+
+def tries_of(member: DataFrame) -> DataFrame:
+    """Pairs (a, b): a set and the reference of one of its tokens; of each foreign component the one it met most often."""
+    of = member.filter("sig = family").select("family", F.col("g").alias("gb"), F.col("n").alias("nb"), F.col("shared").alias("sb")).distinct()
+    met = member.groupBy("family", "sig").agg(F.first("g").alias("g"), F.first("n").alias("n"), F.first("shared").alias("shared"), F.count("*").alias("met"))
+    other = met.join(of, "family").filter("g <> gb").filter(BOUNDS)
+    return other.groupBy(F.col("sig").alias("a"), "gb").agg(F.max_by("family", F.struct("met", "family")).alias("b")).select(F.lit(0).cast("long").alias("family"), "a", "b")
 
 
-#: What two linked sets satisfy: sizes within 3/4, and enough tokens that occur in other components.
-BOUNDS = "4 * least(n, nb) >= 3 * greatest(n, nb) and 175 * least(shared, sb) >= 75 * (n + nb)"
+DIFFERENCES = "family long, sig long, g long, n long, shared long, size long, need long, near boolean, beside boolean, link boolean, tokens binary"
 
 
-def pairs_of(prefixes: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b) of different components that share a prefix token and that the bounds allow.
+def differences(member: DataFrame, sets: DataFrame) -> DataFrame:
+    """Each member of a family of several components, with what it does not share with the reference.
 
-    The bounds are part of the join: sizes within 3/4 of each other (as bands of size, so the join deals by token and band), and
-    an intersection no larger than either set's tokens that occur in other components.
+    near: at a Jaccard similarity of 5/9 at least. beside: not near, but may link to a near set. link: links to the reference.
+    Tokens are hashed with the family. need: how many of them a partner in another component shares at least.
     """
-    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(4.0 / 3)))
-    left = prefixes.withColumn("band", band)
-    right = left.select("token", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"), F.col("sig").alias("b"), F.col("g").alias("gb"), F.col("n").alias("nb"), F.col("shared").alias("sb"))
-    return left.join(right, ["token", "band"]).filter(F.col("g") != F.col("gb")).filter(F.col("sig") < F.col("b")).filter(BOUNDS).select(F.col("sig").alias("a"), "b").distinct()
+    each = member.groupBy("family", "sig").agg(F.first("g").alias("g"), F.first("n").alias("n"), F.first("shared").alias("shared"))
+    mixed = each.groupBy("family").agg(F.min("g").alias("low"), F.max("g").alias("high")).filter("low <> high").select("family")
+    rows = each.filter("sig <> family").join(mixed, "family").join(sets.select("sig", "tokens"), "sig")
+    both = rows.join(sets.select(F.col("sig").alias("family"), F.col("tokens").alias("reference")), "family").select("family", "sig", "g", "n", "shared", "tokens", "reference")
+    names = [f.split()[0] for f in DIFFERENCES.split(", ")]
+    types = [*[pa.int64()] * 7, *[pa.bool_()] * 3, pa.binary()]
 
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for family, sig, g, n, shared, tokens, reference in zip(*[c.to_pylist() for c in batch.columns[:5]], batch.column(5), batch.column(6), strict=True):
+                p = unpack(reference.as_py())
+                x = np.setxor1d(unpack(tokens.as_py()), p, assume_unique=True)
+                size, m = len(x), len(p)
+                near = 7 * size <= 2 * (n + m)
+                beside = not near and 7 * size <= 5 * n + 2 * m
+                hashed = np.sort(mix(x ^ np.uint64(family & (2**64 - 1))) >> np.uint64(16)) if near or beside else x[:0]
+                out.append((family, sig, g, n, shared, size, max(1, -((n + m - 7 * size) // 14)), near, beside, 7 * size <= n + m, pack(hashed)))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
+
+    return both.mapInArrow(work, DIFFERENCES)
 
-def pivots_of(prefixes: DataFrame, turn: int) -> DataFrame:
-    """Pairs (a, b): each set with the pivot of another component that it met most often; another pivot of each token a turn.
 
-    A token's sets meet its pivot only, so a group of n sets costs n meetings a token.
+def pairs_of(rows: DataFrame) -> DataFrame:
+    """Distinct pairs (family, a, b) of different components that share a prefix token and that the bounds allow.
+
+    rows: family, token, sig, g, n, shared (of the whole set), size, own (shared tokens of the difference), near. Whole sets are
+    differences to nothing: their family is 0, and all are near.
     """
-    chance = F.xxhash64(F.lit(turn), "sig")
-    pivot = prefixes.groupBy("token").agg(F.min_by(F.struct(F.col("sig").alias("b"), F.col("g").alias("gb"), F.col("n").alias("nb"), F.col("shared").alias("sb")), F.struct(chance, "sig")).alias("p"), F.count("*").alias("k")).filter("k > 1")
-    met = prefixes.join(pivot.select("token", "p.*"), "token").filter(F.col("g") != F.col("gb")).filter(BOUNDS)
-    counted = met.groupBy("sig", "b").agg(F.count("*").alias("met"))
-    best = counted.groupBy("sig").agg(F.max_by("b", F.struct("met", "b")).alias("b"))
-    return best.select(F.col("sig").alias("a"), "b")
+    right = rows.select("family", "token", *[F.col(c).alias(f"{c}_b") for c in ("sig", "g", "n", "shared", "size", "own", "near")])
+    bounds = "sig < sig_b and g <> g_b and (near or near_b) and 4 * least(n, n_b) >= 3 * greatest(n, n_b) and 7 * least(shared, shared_b) >= 3 * (n + n_b) and 14 * least(own, own_b) >= 7 * (size + size_b) - n - n_b"
+    return rows.join(right, ["family", "token"]).filter(bounds).select("family", F.col("sig").alias("a"), F.col("sig_b").alias("b")).distinct()
 
 
 def nodes_of(docs: DataFrame) -> DataFrame:
@@ -475,40 +550,38 @@ def nodes_of(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(work, "doc_id long, n_shingles long, sig long")
 
 
-def link_roots(docs: DataFrame, total: int, sets_total: int) -> DataFrame:
+def link_roots(docs: DataFrame, total: int) -> DataFrame:
     """node, root over sigs: each set that links to another, and its component."""
     n_parts = partitions_for(total // 3, ENTRIES, 12)
     blocks = index_first_order(docs, n_parts)
     chosen = stored(choose(meet_first_order(blocks, n_parts)), "pivots")
-    n_sets = chosen.count()
-    buckets = partitions_for(n_sets, BUCKET, 12)
+    tokens = chosen.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     needed = needed_filter(chosen.select("x").union(chosen.filter("pivot is not null").select("pivot")), "x")
-    sets = stored(sets_of(docs, needed, buckets), "sets")
-    tries = chosen.filter("pivot is not null").select(F.col("x").alias("a"), F.col("pivot").alias("b"))
-    first = stored(verified(tries, sets, buckets), "links")
+    sets = stored(sets_of(docs, needed, partitions_for(tokens, BUCKET, 12)), "sets")
+    tries = chosen.filter("pivot is not null").select(F.lit(0).cast("long").alias("family"), F.col("x").alias("a"), F.col("pivot").alias("b"))
+    passed = intersected(tries, sets.select(F.lit(0).cast("long").alias("family"), "sig", "second", "third"))
+    first = stored(verified(passed, sets), "links")
     root = stored(roots(first.select(F.col("a").alias("node"), F.col("b").alias("parent"))), "roots")
-    left, n_left, turn, settled = sets, n_sets, 0, False
-    while True:
-        buckets = partitions_for(n_left, BUCKET, 12)
-        grouped = stored(grouped_sets(left, root, buckets), "grouped")
-        often = across_components(grouped, partitions_for(n_left * max(1, total // max(1, sets_total)), ENTRIES, 12), buckets)
-        prefixes = stored(rare_prefixes(grouped, often, buckets), "prefixes")
-        open_sets = stored(prefixes.select("sig").distinct(), "open")
-        n_left = open_sets.count()
-        if not n_left:
-            return root
-        # a set that passed no filter above cannot pass later: components only grow, so tokens only get rarer
-        left = stored(left.join(open_sets, "sig", "left_semi"), "sets")
-        if settled:
-            break
-        more = stored(verified(pivots_of(prefixes, turn), left, buckets), "links")
-        turn += 1
-        found = more.count()
-        settled = found * 100 < n_left  # few links are left to find: look at all pairs that may be one
-        if found:
-            root = stored(joined_roots(root, more), "roots")
-    more = stored(verified(stored(pairs_of(prefixes), "pairs"), left, buckets), "links")
-    return joined_roots(root, more) if more.limit(1).count() else root
+    prefixes = open_prefixes(whole_sets(sets, root), "open")
+    # a set that passes no filter here cannot pass later: components only grow, so tokens only get rarer
+    left = stored(sets.join(prefixes.select("sig"), "sig", "left_semi"), "sets")
+    more = stored(verified(intersected(tries_of(members(prefixes)), prefixes), left), "links")
+    root = stored(joined_roots(root, more), "roots")
+    prefixes = open_prefixes(whole_sets(left, root), "open")
+    return joined_roots(root, stored(links_in_families(prefixes, left), "links"))
+
+
+def links_in_families(prefixes: DataFrame, sets: DataFrame) -> DataFrame:
+    """All links (a, b) between components so far, but for those that links to references imply."""
+    member = stored(members(prefixes), "members")
+    away = stored(differences(member, sets), "differences")
+    apart = stored(open_prefixes(away.filter("near or beside").select("family", "sig", "g", "n", "size", "need", "tokens"), "apart").join(away.select("family", "sig", F.col("shared").alias("whole"), "near"), ["family", "sig"]), "apart")
+    close = apart.select("family", F.explode("first").alias("token"), "sig", "g", "n", F.col("whole").alias("shared"), "size", F.col("shared").alias("own"), "near")
+    far = member.join(away.filter("not near").select("family", "sig"), ["family", "sig"]).select(F.lit(0).cast("long").alias("family"), "token", "sig", "g", "n", "shared", F.col("n").alias("size"), F.col("shared").alias("own"), F.lit(True).alias("near"))
+    pairs = pairs_of(close.unionByName(far))
+    orders = apart.select("family", "sig", "second", "third").unionByName(prefixes.select("family", "sig", "second", "third"))
+    direct = away.filter("link").select(F.col("sig").alias("a"), F.col("family").alias("b"))
+    return verified(intersected(pairs, orders), sets).unionByName(direct)
 
 
 def joined_roots(root: DataFrame, links: DataFrame) -> DataFrame:
@@ -548,8 +621,8 @@ def classes_and_roots(docs: DataFrame, key: str = "doc_id", text: str = "text")
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.encode(text_or_empty(text), "UTF-8").alias("text"))
     with small_batches(docs.sparkSession, BATCH_ROWS):
         nodes = stored(nodes_of(rows), "nodes")
-        total, n_nodes = nodes.agg(F.coalesce(F.sum("n_shingles"), F.lit(0)), F.count("*")).first()
-        root = stored(link_roots(rows, total, n_nodes), "roots")
+        total = nodes.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
+        root = stored(link_roots(rows, total), "roots")
     by_sig = nodes.filter("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"))
     top = by_sig.join(root.select(F.col("node").alias("sig"), "root"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
     # only sets with copies or links differ from their own id: the rest need no second look
