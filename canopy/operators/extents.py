@@ -38,11 +38,15 @@ def map_offsets(requests: DataFrame, extents: DataFrame, key: str = "nid", span:
     """
     e = extents.withColumn("span", F.explode(F.sequence(F.floor(F.col("la") / span), F.floor((F.col("la") + F.greatest(F.col("llen"), F.lit(1)) - 1) / span))))
     r = requests.withColumn("span", F.floor(F.col("off") / span))
+    e = e.select(F.col(key).alias("e_key"), F.col("span").alias("e_span"), F.col("la").alias("e_la"), "llen", "ext_no", "pa", "plen")
     hit = (F.col("e_la") <= F.col("off")) & (F.col("off") < F.col("e_la") + F.col("llen"))
-    met = r.join(e.select(key, "span", F.col("la").alias("e_la"), "llen", "ext_no", "pa", "plen"), [key, "span"]).filter(hit)
+    met = r.join(e, (F.col(key) == F.col("e_key")) & (F.col("span") == F.col("e_span")) & hit, "left")  # extents do not overlap: a row a request
     pa = F.col("pa") + F.col("off") - F.col("e_la")
-    found = met.select("request_id", "ext_no", F.when(F.col("off") - F.col("e_la") < F.col("plen"), pa).alias("pa"))
-    return requests.select("request_id", key, "off").join(found, "request_id", "left")
+    return met.select("request_id", key, "off", "ext_no", F.when(F.col("off") - F.col("e_la") < F.col("plen"), pa).alias("pa"))
+
+
+#: A device table has so many rows at most.
+DEVICES = 65535
 
 
 def device_table(devices: DataFrame) -> DataFrame:
@@ -56,30 +60,56 @@ def map_devices(addresses: DataFrame, devices: DataFrame) -> DataFrame:
 
     Returns addr_id, device_id, pa on the device; an explicit device keeps its address; what no device holds has device 0.
     """
-    d = F.broadcast(devices.select(F.col("device_id").alias("dev"), "blocks", "uniaddr"))
-    by_address = addresses.filter("device_id = 0").join(d, (F.col("pa") >= F.col("uniaddr")) & (F.col("pa") < F.col("uniaddr") + F.col("blocks")), "left")
+    # spans of equal length over all devices: each device is in those it touches, about twice DEVICES rows in all
+    end = F.col("uniaddr") + F.col("blocks")
+    length = F.broadcast(devices.agg(F.greatest(F.ceil(F.max(end) / DEVICES), F.lit(1)).cast("long").alias("length")))
+    d = devices.filter("blocks > 0").crossJoin(length).withColumn("span", F.explode(F.sequence(F.expr("uniaddr div length"), F.expr("(uniaddr + blocks - 1) div length"))))
+    d = F.broadcast(d.select("span", F.col("device_id").alias("dev"), "blocks", "uniaddr"))
+    by_address = addresses.filter("device_id = 0").crossJoin(length).withColumn("at", F.expr("pa div length"))
+    by_address = by_address.join(d, (F.col("at") == F.col("span")) & (F.col("pa") >= F.col("uniaddr")) & (F.col("pa") < end), "left")
     one = by_address.select("addr_id", F.coalesce("dev", F.lit(0)).alias("device_id"), (F.col("pa") - F.coalesce("uniaddr", F.lit(0))).alias("pa"))
     return one.unionByName(addresses.filter("device_id <> 0").select("addr_id", "device_id", "pa"))
 
 
-def range_parts(requests: DataFrame, extents: DataFrame, key: str = "nid") -> DataFrame:
+def in_spans(rows: DataFrame, start: str, length: str, span: int) -> DataFrame:
+    """Adds span, one row for each span of offsets that [start, start + length) touches (at least that of start), and first."""
+    first = F.expr(f"{start} div {span}")
+    last = F.expr(f"({start} + greatest({length}, 1) - 1) div {span}")
+    return rows.withColumn("first", first).withColumn("span", F.explode(F.sequence(first, last)))
+
+
+def overlapping(requests: DataFrame, pieces: DataFrame, key: str, span: int) -> DataFrame:
+    """Each request beside each piece (p_off, p_len) of its file that it may overlap, once.
+
+    Both are dealt by file and by spans of offsets, so a much read file is many keys; a pair that meets in several spans
+    is kept in the first of them.
+    """
+    r = in_spans(requests.select("request_id", key, "off", "len"), "off", "len", span)
+    p = in_spans(pieces, "p_off", "p_len", span).withColumnRenamed("first", "p_first")
+    met = r.join(p, [key, "span"]).filter(F.col("span") == F.greatest("first", "p_first"))
+    return met.filter("off < p_off + p_len and p_off < off + len").drop("span", "first", "p_first")
+
+
+def range_parts(requests: DataFrame, extents: DataFrame, key: str = "nid", span: int = 65536) -> DataFrame:
     """request_id, part_no, off, n, pa: the parts of [off, off + len) in extents that it overlaps, trimmed, in order."""
     start = F.greatest("off", "la")
     end = F.least(F.col("off") + F.col("len"), F.col("la") + F.col("llen"))
     w = W.partitionBy("request_id").orderBy("part_off")
-    j = requests.select("request_id", key, "off", "len").join(extents.select(key, "la", "llen", "pa"), key).filter((F.col("off") < F.col("la") + F.col("llen")) & (F.col("la") < F.col("off") + F.col("len")))
+    j = overlapping(requests, extents.select(key, F.col("la").alias("p_off"), F.col("llen").alias("p_len"), "la", "llen", "pa"), key, span)
     p = j.select("request_id", start.alias("part_off"), (end - start).alias("n"), (F.col("pa") + start - F.col("la")).alias("pa"))
     return p.withColumn("part_no", F.row_number().over(w) - 1)
 
 
-def read_ranges(requests: DataFrame, content: DataFrame, key: str = "nid") -> DataFrame:
+def read_ranges(requests: DataFrame, content: DataFrame, key: str = "nid", span: int = 65536) -> DataFrame:
     """request_id, data: bytes of [off, off + len), short at the end, empty beyond it. content: key, off (s_off), data segments."""
-    j = requests.select("request_id", key, "off", "len").join(content.select(key, F.col("off").alias("s_off"), F.col("data").alias("seg")), key, "left")
+    segments = content.select(key, F.col("off").alias("p_off"), F.octet_length("data").cast("long").alias("p_len"), F.col("off").alias("s_off"), F.col("data").alias("seg"))
+    j = overlapping(requests, segments, key, span)
     start = F.greatest(F.col("off") - F.col("s_off"), F.lit(0))
     end = F.least(F.col("off") + F.col("len") - F.col("s_off"), F.octet_length("seg").cast("long"))
     piece = j.withColumns({"a": start, "b": end}).withColumn("piece", F.when(F.col("b") > F.col("a"), F.expr("substring(seg, cast(a + 1 as int), cast(b - a as int))")))
     parts = F.sort_array(F.collect_list(F.when(F.col("piece").isNotNull(), F.struct("s_off", "piece"))))
-    return piece.groupBy("request_id").agg(F.aggregate(parts, F.lit(b""), lambda acc, x: F.concat(acc, x["piece"])).alias("data"))
+    read = piece.groupBy("request_id").agg(F.aggregate(parts, F.lit(b""), lambda acc, x: F.concat(acc, x["piece"])).alias("data"))
+    return requests.select("request_id").join(read, "request_id", "left").select("request_id", F.coalesce("data", F.lit(b"")).alias("data"))
 
 
 def next_starts(heads: DataFrame, size: str = "size") -> DataFrame:

@@ -25,15 +25,19 @@ def exclude(entries: DataFrame, exact: list[str] = (), patterns: list[str] = ())
 
 
 def read_rules(spark: SparkSession, path: str) -> DataFrame:
-    """rule_no, cluster_size, alg, pattern of a rule file: `size [alg] pattern`, # comments."""
+    """rule_no, cluster_size, alg, pattern of a rule file: `size [alg] pattern`.
+
+    A # starts a comment at the start of a line or after white space; inside a pattern it stands for itself. Rules whose size
+    is no multiple of the block size are left out.
+    """
     lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("rule_no", "line"))
     return parse_rules(lines)
 
 
-def parse_rules(lines: DataFrame) -> DataFrame:
-    bare = lines.select("rule_no", F.trim(F.regexp_replace("line", "#.*$", "")).alias("line")).filter("line <> ''")
+def parse_rules(lines: DataFrame, block_size: int = 4096) -> DataFrame:
+    bare = lines.select("rule_no", F.trim(F.regexp_replace("line", r"(^|\s)#.*$", "")).alias("line")).filter("line <> ''")
     size, alg = F.regexp_extract("line", r"^(\d+)", 1), F.regexp_extract("line", r"^\d+\s+(\d+)\s+\S", 1)
-    return bare.filter(F.col("line").rlike(r"^\d+\s+\S")).select(
+    return bare.filter(F.col("line").rlike(r"^\d+\s+\S") & (size.cast("long") % block_size == 0)).select(
         F.col("rule_no").cast("int"), size.cast("long").alias("cluster_size"),
         F.when(alg != "", alg.cast("int")).alias("alg"), F.regexp_extract("line", r"^\d+\s+(?:\d+\s+(?=\S))?(.*)$", 1).alias("pattern"),
     )

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from canopy.functions import codecs, hashes
 from canopy.operators import compressed, filters
+from canopy.operators.order import running
+from canopy.operators.paths import name_order
 from canopy.plans.data_queries import _files
 from canopy.plans.registry import query
 from canopy.sources import vfs
@@ -38,7 +40,7 @@ query("p9_wide_chunks", "SELECT user_id AS nid, bool_or(event_id * 1000003 > 429
     lambda s, d: compressed.wide_chunks(table(s, d, "events").select(F.col("user_id").alias("nid"), (F.col("event_id") * 1000003).alias("startblk"))))
 query("p11_label_overrides", f"""WITH {vfs.FILES} SELECT path, CASE WHEN regexp_matches(path, '^en/.*1\\.txt$') THEN 'label:one' WHEN starts_with(path, 'en/') THEN 'label:en' ELSE 'label:any' END AS label FROM files""")(
     lambda s, d: vfs.files(s, d).select("path", filters.first_match(F.col("path"), [("^en/.*1\\.txt$", "label:one"), ("^en/", "label:en")], "label:any").alias("label")))
-query("o3_emission_order", f"""WITH {vfs.FILES} SELECT path, CAST(row_number() OVER (PARTITION BY lang ORDER BY path) AS INTEGER) AS pos FROM files""")(lambda s, d: _order(s, d))
+query("o3_emission_order", f"""WITH {vfs.FILES} SELECT path, CAST(row_number() OVER (PARTITION BY lang ORDER BY string_split(path, '/')) AS BIGINT) AS pos FROM files""")(lambda s, d: _order(s, d))
 query("s8_layer_numbers", f"""WITH {vfs.FILES} SELECT path, CAST(max(CASE lang WHEN 'en' THEN 0 WHEN 'de' THEN 1 ELSE 2 END) AS INTEGER) AS layer_no FROM files GROUP BY 1""")(
     lambda s, d: _stacked(s, d).groupBy("path").agg(F.max("layer_no").alias("layer_no")))
 query("c6_coded_sizes", None)(lambda s, d: codecs.sizes(_files(s, d), "deflate", 6))
@@ -49,9 +51,8 @@ query("h_xxh64", None)(lambda s, d: _files(s, d).select("path", hashes.xxh64_col
 
 
 def _order(s, d):
-    from pyspark.sql import Window as W
-
-    return vfs.files(s, d).select("path", F.row_number().over(W.partitionBy("lang").orderBy("path")).alias("pos"))
+    rows = vfs.files(s, d).select("lang", "path")
+    return running(rows, ["lang"], name_order(F.col("path")), F.lit(1), "n").select("path", (F.col("n") + 1).alias("pos"))
 
 
 def _stacked(s, d):

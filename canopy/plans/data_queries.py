@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from canopy.functions import columns as C
 from canopy.operators import dedupe, extents, integrity, xattrs
+from canopy.operators.order import running
 from canopy.operators.paths import tree
 from canopy.plans.registry import query
 from canopy.sources import vfs
@@ -111,12 +112,13 @@ SELECT nid, chunk_no, chunk_no * 65536 AS la, least(65536, (size - chunk_no * 65
 query("x7_range_parts", f"""WITH {EXTENTS}, {REQUESTS}, p AS (SELECT request_id, greatest(off, la) AS part_off, least(off + len, la + llen) - greatest(off, la) AS n, pa + greatest(off, la) - la AS pa FROM requests JOIN extents USING (nid) WHERE off < la + llen AND la < off + len)
 SELECT request_id, part_off, n, pa, CAST(row_number() OVER (PARTITION BY request_id ORDER BY part_off) - 1 AS INTEGER) AS part_no FROM p""")(lambda s, d: extents.range_parts(vfs.requests(s, d), vfs.extents(s, d)))
 
-DOCREQ = "dr AS (SELECT event_id AS request_id, event_id % 1000 AS nid, event_id * 7919 % 6000 AS off, event_id % 9 * 300 AS len FROM events)"
+DOCREQ = "dr AS (SELECT event_id AS request_id, event_id * 31 % (SELECT max(doc_id) + 1 FROM documents) AS nid, event_id * 7919 % 6000 AS off, event_id % 9 * 300 AS len FROM events)"
 
 
 def _doc_requests(s, d):
     e = F.col("event_id")
-    return table(s, d, "events").select(e.alias("request_id"), (e % 1000).alias("nid"), (e * 7919 % 6000).alias("off"), (e % 9 * 300).alias("len"))
+    many = table(s, d, "documents").agg((F.max("doc_id") + 1).alias("many"))  # one row
+    return table(s, d, "events").crossJoin(F.broadcast(many)).select(e.alias("request_id"), (e * 31 % F.col("many")).alias("nid"), (e * 7919 % 6000).alias("off"), (e % 9 * 300).alias("len"))
 
 
 def _segments(s, d, size=1024):
@@ -127,23 +129,21 @@ def _segments(s, d, size=1024):
 
 query("x6_x7_s10_read_ranges", f"""WITH {FILES}, {DOCREQ} SELECT request_id, sha256(CASE WHEN text IS NULL OR off >= size OR len = 0 THEN ''::BLOB ELSE encode(text)[off + 1 : least(off + len, size)] END) AS digest FROM dr LEFT JOIN files USING (nid)""")(
     lambda s, d: extents.read_ranges(_doc_requests(s, d), _segments(s, d)).select("request_id", F.sha2("data", 256).alias("digest")))
-query("i13_differential_reads", f"""WITH {DOCREQ} SELECT request_id, true AS same FROM dr""")(lambda s, d: _differential(s, d))
+query("i13_differential_reads", f"""WITH {FILES}, {DOCREQ} SELECT request_id, sha256(CASE WHEN text IS NULL OR off >= size OR len = 0 THEN ''::BLOB ELSE encode(text)[off + 1 : least(off + len, size)] END) AS digest, true AS same FROM dr LEFT JOIN files USING (nid)""")(lambda s, d: _differential(s, d))
 
 
 def _differential(s, d):
     r = _doc_requests(s, d)
     a = extents.read_ranges(r, _segments(s, d, 1024)).select("request_id", F.col("data").alias("a"))
     b = extents.read_ranges(r, _segments(s, d, 777)).select("request_id", F.col("data").alias("b"))
-    return a.join(b, "request_id").select("request_id", (F.col("a") == F.col("b")).alias("same"))
+    return a.join(b, "request_id").select("request_id", F.sha2("a", 256).alias("digest"), (F.col("a") == F.col("b")).alias("same"))
 
 
 query("j10_verified_copies", f"""WITH {FILES}, o AS (SELECT text, min(path) AS owner FROM files WHERE size > 0 GROUP BY 1) SELECT path, owner FROM files JOIN o USING (text) WHERE path <> owner""")(lambda s, d: _verified(s, d))
 
 
 def _verified(s, d):
-    f = _files(s, d).filter("size > 0").select("path", "content", F.xxhash64("content").alias("h"))
-    owner = f.groupBy("h").agg(F.min(F.struct("path", "content")).alias("o"))
-    return f.join(owner, "h").filter((F.col("content") == F.col("o.content")) & (F.col("path") != F.col("o.path"))).select("path", F.col("o.path").alias("owner"))
+    return dedupe.copies(_files(s, d))
 
 
 query("j13_compare_trees", f"""WITH {CHUNKS}, b AS (SELECT path, chunk_no, CASE WHEN chunk_no % 3 = 0 THEN 'x' ELSE digest END AS digest FROM chunks WHERE NOT contains(path, '/src3/')
@@ -213,14 +213,19 @@ WHERE c_custkey % 60 BETWEEN 1 AND 12 OR c_custkey % 60 > 12 AND 12 + 4 * (c_cus
     lambda s, d: integrity.xattr_bodies(table(s, d, "customer").select((k := F.col("c_custkey")).alias("nid"), (k % 60).alias("body_size"), (k % 3).alias("n_shared"), (k % 7 * 4).alias("entry_bytes"))))
 query("i11_verdict", f"""WITH {DIRENTS}, o AS (SELECT *, lag(name) OVER (PARTITION BY dir_nid ORDER BY lblk, idx) AS prev FROM dirents) SELECT 'names' AS "check", (SELECT count(*) FROM dirents WHERE strlen(name) NOT BETWEEN 1 AND 255 OR contains(name, '/') OR ftype > 7) AS n, true AS corrupted
 UNION ALL SELECT 'order', (SELECT count(*) FROM o WHERE prev IS NOT NULL AND name <= prev), true""")(lambda s, d: integrity.verdict(names=integrity.bad_names(e := _dirents(s, d)), order=integrity.name_order(e)))
-query("i5_directory_loops", "SELECT 'a/loop' AS path UNION ALL SELECT 'a/b/up'")(lambda s, d: _loops(s))
+query("i5_directory_loops", f"""WITH {FILES}, dirs AS (SELECT DISTINCT dir, lang FROM files) SELECT dir || '/self' AS path FROM dirs UNION ALL SELECT dir || '/up' FROM dirs UNION ALL SELECT dir || '/root' FROM dirs""")(lambda s, d: _loops(s, d))
 
 
-def _loops(s):
+def _loops(s, d):
+    """The tree of all files, with three loops planted in each directory of files: to itself, to the one above and to the root."""
     from canopy.operators.paths import walk
+    from canopy.plans.tree_queries import _nid_dirents
 
-    e = s.createDataFrame([(1, "a", 2, 2), (2, "loop", 2, 2), (2, "b", 3, 2), (3, "up", 1, 2), (3, "f", 9, 1)], "dir_nid long, name string, nid long, ftype int")
-    return walk(e, 1).filter("loop").select("path")
+    e = _nid_dirents(s, d)
+    up = e.filter("ftype = 2").select(F.col("nid").alias("own"), F.col("dir_nid").alias("above"))
+    holds = e.filter("ftype = 1").select(F.col("dir_nid").alias("own")).distinct().join(up, "own")
+    planted = lambda name, to: holds.select(F.col("own").alias("dir_nid"), F.lit(name).alias("name"), to.cast("long").alias("nid"), F.lit(2).alias("ftype"))
+    return walk(e.unionByName(planted("self", F.col("own"))).unionByName(planted("up", F.col("above"))).unionByName(planted("root", F.lit(1))), 1).filter("loop").select("path")
 
 
 query("j4_hard_link_groups", f"""WITH {INODES} SELECT uid AS dev, size % 1000 AS ino, count(*) AS n_names, min(nid) AS first_nid FROM inodes WHERE mode & 61440 <> 16384 GROUP BY 1, 2 HAVING count(*) > 1""")(
@@ -240,10 +245,7 @@ query("s13_tar_data_index", f"""WITH {FILES} SELECT path, CAST(sum((size + 511)
 
 
 def _tar_index(s, d):
-    from pyspark.sql import Window as W
-
-    w = W.partitionBy("lang").orderBy("nid").rowsBetween(W.unboundedPreceding, -1)
-    return vfs.files(s, d).select("path", F.coalesce(F.sum(C.round_up(F.col("size"), 512)).over(w), F.lit(0)).alias("off"))
+    return running(vfs.files(s, d).select("lang", "nid", "path", "size"), ["lang"], F.col("nid"), C.round_up(F.col("size"), 512), "off").select("path", "off")
 
 
 query("s2d_pax_times", """SELECT event_id, CASE WHEN event_id % 4 = 3 THEN NULL WHEN event_id % 4 = 1 THEN -event_id - 1 ELSE event_id END AS s, CAST(CASE event_id % 4 WHEN 0 THEN 500000000 WHEN 1 THEN 750000000 WHEN 2 THEN 123456789 END AS INTEGER) AS ns FROM events""")(
@@ -279,7 +281,5 @@ def _ranks(s, d):
 
 
 def _slots(s, d):
-    from pyspark.sql import Window as W
-
-    w = W.partitionBy("lang").orderBy("nid").rowsBetween(W.unboundedPreceding, -1)
-    return vfs.files(s, d).select("path", F.shiftright(F.coalesce(F.sum(C.round_up(32 + F.col("size") % 5 * 4, 32)).over(w), F.lit(0)), 5).alias("slot"))
+    rows = running(vfs.files(s, d).select("lang", "nid", "path", "size"), ["lang"], F.col("nid"), C.round_up(32 + F.col("size") % 5 * 4, 32), "at")
+    return rows.select("path", F.shiftright("at", 5).alias("slot"))

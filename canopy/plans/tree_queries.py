@@ -160,7 +160,7 @@ def _nid_dirents(s, d):
 
 
 query("j3_walk", f"WITH {TREE} SELECT path, ftype, false AS loop FROM tree")(lambda s, d: paths.walk(_nid_dirents(s, d), 1).select("path", "ftype", "loop"))
-query("j3_first_paths", f"""WITH x AS (SELECT doc_id % 100 AS nid, lang || '/' || source || '/' || doc_id AS path FROM documents) SELECT nid, min(path) AS path FROM x GROUP BY 1""")(
+query("j3_first_paths", f"""WITH x AS (SELECT doc_id % 100 AS nid, lang || '/' || source || '/' || doc_id AS path FROM documents) SELECT nid, arg_min(path, string_split(path, '/')) AS path FROM x GROUP BY 1""")(
     lambda s, d: paths.first_paths(table(s, d, "documents").select((F.col("doc_id") % 100).alias("nid"), F.concat_ws("/", "lang", "source", F.col("doc_id").cast("string")).alias("path"))))
 
 query("s4a_key_tree", f"WITH {TREE} SELECT path, ftype FROM tree")(lambda s, d: _tree(s, d).select("path", "ftype"))

@@ -97,7 +97,8 @@ XATTRS = """xattrs AS (SELECT doc_id AS nid, 'user.lang' AS name, lang AS value
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """request_id, nid, off, len from events: reads of files of `extents`."""
     e = F.col("event_id")
-    return table(spark, sf_dir, "events").select(e.alias("request_id"), (e % 1500).alias("nid"), (e * 7919 % 120000).alias("off"), (e % 5 * 4096 + 1).alias("len"), "ts")
+    many = table(spark, sf_dir, "orders").agg((F.max("o_orderkey") + 1).alias("many"))  # one row
+    return table(spark, sf_dir, "events").crossJoin(F.broadcast(many)).select(e.alias("request_id"), (e * 31 % F.col("many")).alias("nid"), (e * 7919 % 120000).alias("off"), (e % 5 * 4096 + 1).alias("len"), "ts")
 
 
-REQUESTS = "requests AS (SELECT event_id AS request_id, event_id % 1500 AS nid, event_id * 7919 % 120000 AS off, event_id % 5 * 4096 + 1 AS len, ts FROM events)"
+REQUESTS = "requests AS (SELECT event_id AS request_id, event_id * 31 % (SELECT max(o_orderkey) + 1 FROM orders) AS nid, event_id * 7919 % 120000 AS off, event_id % 5 * 4096 + 1 AS len, ts FROM events)"
