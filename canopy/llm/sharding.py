@@ -5,7 +5,10 @@ slot, and a versioned slot-to-shard map is stored. Rebalancing edits the map: ea
 while they fit its fair share of the bytes; only the slots beyond it move, one by one, to the shard that is lightest at
 that moment. Records never move one by one, so the control data is bounded by the number of slots whatever the table's size.
 
-Cases: a null text counts no bytes; null ids hash to one slot; repeated rows get places of their own (`slot`), ties are
+A slot is hashed from id, checksum and size, so a null or much repeated id is spread over the slots like any other. Places are
+counted in parts of slots, PART_ROWS rows each, about: no task sorts a whole slot.
+
+Cases: a null text counts no bytes; repeated rows get places of their own (`slot`), ties are
 broken by id, checksum and size; an empty table gives an empty result; further columns of the input are not read.
 """
 
@@ -15,25 +18,22 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from canopy.llm.common import stored, table
+from canopy.llm.common import partitions_for, stored, table
 
 VIRTUAL_SLOTS = 4096
 ROW_OVERHEAD = 16
+PART_ROWS = 50_000
 
 
-def virtual_slot(key: Column, n_slots: int = VIRTUAL_SLOTS) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(n_slots)).cast("int")
+def virtual_slot(*key: Column | str, n_slots: int = VIRTUAL_SLOTS) -> Column:
+    return F.pmod(F.xxhash64(*key), F.lit(n_slots)).cast("int")
 
 
 def sized(docs: DataFrame, n_slots: int = VIRTUAL_SLOTS) -> DataFrame:
     """doc_id, size, text_crc32 and virtual slot of each record: the only pass over the texts."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
-        (F.octet_length(text) + ROW_OVERHEAD).cast("long").alias("size"),
-        F.crc32(text).alias("text_crc32"),
-        virtual_slot(F.col("doc_id"), n_slots).alias("vslot"),
-    )
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + ROW_OVERHEAD).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
+    return rows.withColumn("vslot", virtual_slot("doc_id", "text_crc32", "size", n_slots=n_slots))
 
 
 def slot_totals(rows: DataFrame) -> DataFrame:
@@ -84,15 +84,20 @@ def rebalanced_map(current: DataFrame, n_shards: int) -> DataFrame:
 def place(rows: DataFrame, slot_map: DataFrame) -> DataFrame:
     """Each record's shard and its place there, counted from 0 without gaps, shard by shard.
 
-    The place is the slot's offset in its shard plus the record's number in its slot, so no task sorts a whole shard.
+    The place is the slot's offset in its shard, the part's offset in the slot and the record's number in the part.
     """
-    before = W.partitionBy("shard").orderBy("vslot").rowsBetween(W.unboundedPreceding, -1)
-    offsets = slot_map.select("vslot", "shard", F.coalesce(F.sum("n_rows").over(before), F.lit(0)).alias("offset"))
-    in_slot = W.partitionBy("vslot").orderBy("doc_id", "text_crc32", "size")
+    n_parts = partitions_for(rows.count(), slot_map.count() * PART_ROWS or 1)
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("size", "text_crc32", "doc_id"), F.lit(n_parts)))
+    before = lambda key, order: W.partitionBy(key).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+    total_before = lambda n, key, order: F.coalesce(F.sum(n).over(before(key, order)), F.lit(0))
+    slots = slot_map.select("vslot", "shard", total_before("n_rows", "shard", "vslot").alias("slot_at"))
+    parts = rows.groupBy("vslot", "part").agg(F.count("*").alias("n")).select("vslot", "part", total_before("n", "vslot", "part").alias("part_at"))
+    in_part = W.partitionBy("vslot", "part").orderBy("doc_id", "text_crc32", "size")
     return (
-        rows.withColumn("nth", F.row_number().over(in_slot))
-        .join(F.broadcast(offsets), "vslot")
-        .withColumn("slot", (F.col("offset") + F.col("nth") - 1).cast("long"))
+        rows.withColumn("nth", F.row_number().over(in_part))
+        .join(parts, ["vslot", "part"])
+        .join(F.broadcast(slots), "vslot")
+        .withColumn("slot", (F.col("slot_at") + F.col("part_at") + F.col("nth") - 1).cast("long"))
     )
 
 
