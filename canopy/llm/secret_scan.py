@@ -3,7 +3,9 @@
 Base findings are three patterns: values assigned to secret-like names, access key ids and long hex runs. Beyond these,
 runs of base64 or hex characters are candidates only: each is decoded and reported when what it decodes to has the
 structure of a key or a signed token - DER whose nested lengths add up to the last byte, an OpenSSH key whose
-length-prefixed fields do, or a token whose header is a JSON object that names its algorithm.
+length-prefixed fields do, or a token whose header is a JSON object that names its algorithm. Candidates also start inside a run:
+at any segment of a dotted run (tokens), after a sign of the alphabet (keys glued to a path or a name), and at any line of a
+wrapped block. An armoured key with headers that name an encryption is confirmed by those and whole cipher blocks.
 
 Spans are in code points, end exclusive. Findings of one kind never overlap; different kinds may. Cases: null is the
 empty text, which has no findings; texts are scanned whole; equal texts have equal findings; an empty table gives an
@@ -36,9 +38,13 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
 #: Candidates for keys: hex digits of either case.
 HEX_DIGITS = re.compile(r"[0-9A-Fa-f]+")
-TOKEN = re.compile(r"(?<![A-Za-z0-9_-])([A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]*)")
+DOTTED = re.compile(r"[A-Za-z0-9_-]+(?:\.[A-Za-z0-9_-]*)+")
 ENCODED = re.compile(r"[A-Za-z0-9+/_-]{32,}={0,2}")
-ARMOUR = re.compile(r"-----BEGIN [A-Z0-9 ]{0,40}KEY-----([A-Za-z0-9+/=\s]*)-----END [A-Z0-9 ]{0,40}KEY-----")
+#: Where a key may start inside a run, and how keys start there: a DER sequence, or an OpenSSH key.
+GLUED = re.compile(r"(?<=[+/_-])(?=M[A-Za-z0-9+/_-]{3}|b3BlbnNzaC1rZXk|AAAA[A-Za-z0-9+/_-]{4})")
+WRAPPED = re.compile(r"(?<![A-Za-z0-9+/=])[A-Za-z0-9+/]{32,}(?:\r?\n[ \t]*[A-Za-z0-9+/]+={0,2})+")
+LINE = re.compile(r"[A-Za-z0-9+/]+={0,2}")
+ARMOUR = re.compile(r"-----BEGIN [A-Z0-9 ]{0,40}KEY-----((?:\s*[A-Za-z][A-Za-z-]{1,40}: [^\n]*\n)*)([A-Za-z0-9+/=\s]*)-----END [A-Z0-9 ]{0,40}KEY-----")
 LEAST_KEY_BYTES = 24
 
 
@@ -140,6 +146,74 @@ def is_token_header(part: str) -> bool:
     return isinstance(head, dict) and isinstance(head.get("alg"), str)
 
 
+def tokens_in(run: str) -> list[tuple[int, int]]:
+    """Spans of signed tokens in a dotted run: a header, a payload of two letters or more, a signature that may be empty."""
+    parts, out, at, i = run.split("."), [], 0, 0
+    starts = []
+    for p in parts:
+        starts.append(at)
+        at += len(p) + 1
+    while i + 2 < len(parts):
+        # a JSON object's first letter decides the first letter of its base64
+        if parts[i][:1] == "e" and len(parts[i]) >= 8 and len(parts[i + 1]) >= 2 and is_token_header(parts[i]):
+            out.append((starts[i], starts[i + 2] + len(parts[i + 2])))
+            i += 3
+        else:
+            i += 1
+    return out
+
+
+def der_letters(run: str, at: int) -> int | None:
+    """How many base64 letters (without padding) the DER sequence that starts at `at` needs; None where none starts there."""
+    head = from_base64(run[at : at + 8])
+    if not head or head[0] != 0x30:
+        return None
+    size = der_length(head + bytes(6), 1)
+    return -(-(size[0] + size[1]) * 4 // 3) if size else None
+
+
+def glued_key(run: str) -> tuple[int, int] | None:
+    """A key that ends a run but starts after a sign inside it. Its own lengths say where, so few places are decoded."""
+    bare = run.rstrip("=")
+    for m in GLUED.finditer(run):
+        at = m.start()
+        if run[at] == "M" and der_letters(run, at) != len(bare) - at:
+            continue
+        if is_key(from_base64(run[at:])):
+            return at, len(run)
+    return None
+
+
+def wrapped_keys(text: str) -> list[tuple[int, int]]:
+    """Spans of keys in base64 over several lines without armour."""
+    out = []
+    for block in WRAPPED.finditer(text):
+        lines, i = list(LINE.finditer(text, *block.span())), 0
+        while i < len(lines):
+            need, j, held = None, i, 0
+            first = lines[i][0]
+            if first[0] == "M":
+                need = der_letters(first, 0)
+            elif first.startswith(("b3BlbnNzaC1rZXk", "AAAA")):
+                need = sum(len(m[0].rstrip("=")) for m in lines[i:])
+            while need and j < len(lines) and held < need:
+                held += len(lines[j][0].rstrip("="))
+                j += 1
+            if need and held == need and j > i + 1 and is_key(from_base64("".join(m[0] for m in lines[i:j]))):
+                out.append((lines[i].start(), lines[j - 1].end()))
+                i = j
+            else:
+                i += 1
+    return out
+
+
+def is_armoured_key(headers: str, body: str) -> bool:
+    data = from_base64("".join(body.split()))
+    if "ENCRYPTED" in headers:
+        return data is not None and len(data) >= LEAST_KEY_BYTES and len(data) % 8 == 0
+    return is_key(data)
+
+
 def scan(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) of every finding, by start, then kind as listed."""
     out: list[tuple[int, int, str]] = []
@@ -158,14 +232,20 @@ def scan(text: str) -> list[tuple[int, int, str]]:
             if len(m[0]) >= 2 * LEAST_KEY_BYTES:
                 keys += [m.span()] if is_hex_key(m[0]) else [n.span() for n in HEX.finditer(s, *m.span()) if is_hex_key(n[0])]
         if "." in s:
-            out += [(at + m.start(), at + m.end(), "jwt") for m in TOKEN.finditer(s) if is_token_header(m[1])]
+            out += [(at + m.start() + a, at + m.start() + b, "jwt") for m in DOTTED.finditer(s) for a, b in tokens_in(m[0])]
         for m in ENCODED.finditer(s):
-            if not HEX.fullmatch(m[0]) and not any(a < m.end() and m.start() < b for a, b in keys) and is_key(from_base64(m[0])):
+            if HEX.fullmatch(m[0]) or any(a < m.end() and m.start() < b for a, b in keys):
+                continue
+            if is_key(from_base64(m[0])):
                 keys.append(m.span())
+            elif inside := glued_key(m[0]):
+                keys.append((m.start() + inside[0], m.start() + inside[1]))
         out += [(at + a, at + b, "key") for a, b in keys]
+    for a, b in wrapped_keys(text) if "\n" in text else []:
+        out = [x for x in out if x[2] != "key" or x[1] <= a or b <= x[0]] + [(a, b, "key")]
     if "-----BEGIN " in text:
         for m in ARMOUR.finditer(text):
-            if is_key(from_base64("".join(m[1].split()))):
+            if is_armoured_key(m[1], m[2]):
                 inside = [x for x in out if x[2] == "key" and m.start() <= x[0] < m.end()]
                 out = [x for x in out if x not in inside] + [(m.start(), m.end(), "key")]
     return sorted(out, key=lambda x: (x[0], ORDER[x[2]], x[1]))
