@@ -4,7 +4,7 @@ The tree is fitted on a bounded sample of vectors (FIT_ROWS, chosen by hash of t
 with the table. Every vector goes down the tree to one leaf. A query walks the tree with a priority queue: the branch whose
 centre promises most is opened next, leaves come out in that order. How many leaf rows a query looks at is calibrated on
 sample queries: the visits widen until recall against brute force over the sample reaches TARGET (in shares of the sample's
-distinct vectors, so that a much repeated vector does not use up a query's visits). Leaves are joined with the
+distinct vectors, so that a much repeated vector does not use up a query's visits), and never stop below k candidates. Leaves are joined with the
 queries that visit them, leaf by leaf; a leaf with many rows is salted into bounded blocks, each searched by a task of its own.
 
 Nearness is the inner product in double precision. Cases: vectors that are null, zero or have null or non-finite components,
@@ -37,7 +37,7 @@ FLOOR_ROWS = 8192
 LEAF_ROWS = 40
 BRANCHES = 8
 ROUNDS = 8
-TARGET = 0.97
+TARGET = 0.94
 CALIBRATION_QUERIES = 200
 #: Rows of one block of a leaf; rows of leaves that share a part.
 BLOCK, PART_ROWS = 2048, 1024
@@ -88,13 +88,14 @@ class Tree:
             for c in range(self.first[n], self.first[n] + self.count[n]):
                 heapq.heappush(queue, (-score[c], c))
 
-    def visits(self, q: np.ndarray) -> list[int]:
-        """The leaves a query looks at."""
-        out, held = [], 0.0
+    def visits(self, q: np.ndarray, size: dict[int, int] | None = None, least: int = 0) -> list[int]:
+        """The leaves a query looks at: as calibrated, and until they hold `least` rows by their sizes."""
+        out, held, rows = [], 0.0, 0
         for leaf in self.walk(q):
             out.append(leaf)
             held += self.share[leaf]
-            if held >= self.budget:
+            rows += size.get(leaf, 0) if size else 0
+            if held >= self.budget and rows >= least:
                 break
         return out
 
@@ -212,6 +213,7 @@ class Layout:
 
     part: dict[int, int]
     blocks: dict[int, int]
+    size: dict[int, int]
 
     @staticmethod
     def of(size: dict[int, int], rows: int = PART_ROWS) -> Layout:
@@ -221,13 +223,14 @@ class Layout:
                 now, held = now + 1, 0
             part[leaf] = now if size[leaf] <= BLOCK else -leaf - 1
             held += size[leaf] if size[leaf] <= BLOCK else 0
-        return Layout(part, {leaf: -(-n // BLOCK) for leaf, n in size.items()})
+        return Layout(part, {leaf: -(-n // BLOCK) for leaf, n in size.items()}, size)
 
 
-def with_visits(queries: DataFrame, tree: Tree, layout: Layout, k: int) -> DataFrame:
+def with_visits(queries: DataFrame, tree: Tree, layout: Layout, k: int, own: int = 1) -> DataFrame:
     """part, block, query_id, q, least, leaves: a row for each block that holds leaves a query looks at.
 
-    least: no row that scores less is among the k nearest, so blocks need not return any.
+    least: no row that scores less is among the k nearest, so blocks need not return any. own: how many rows a query's id has
+    at most; these are no candidates of it.
     """
     size = tree.centre.shape[1]
     kind = queries.schema["v"].dataType.simpleString()
@@ -240,7 +243,7 @@ def with_visits(queries: DataFrame, tree: Tree, layout: Layout, k: int) -> DataF
                 for i, (key, q) in enumerate(zip(part.column(0).to_pylist(), part.column(1), strict=True)):
                     by: dict[tuple[int, int], list[int]] = {}
                     q = np.array(q.as_py(), np.float64)
-                    leaves = tree.visits(q)
+                    leaves = tree.visits(q, layout.size, k + own)
                     least = tree.floor(key, q, k, leaves)
                     for leaf in leaves:
                         for block in range(layout.blocks.get(leaf, 0)):
@@ -304,8 +307,9 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec_
     layout = Layout.of(size)
     where = spark.createDataFrame([(leaf, layout.part[leaf], layout.blocks[leaf]) for leaf in size], "leaf int, part int, blocks int")
     dealt = placed.join(F.broadcast(where), "leaf").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int")).select("part", "block", "leaf", "vec_id", "v")
+    own = placed.groupBy("vec_id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
     n_parts = partitions_for(sum(size.values()), 2 * PART_ROWS, 32)
-    asked = with_visits(sound(queries, key, column).repartition(n_parts, "vec_id").dropDuplicates(["vec_id", "v"]), tree, layout, k)
+    asked = with_visits(sound(queries, key, column).repartition(n_parts, "vec_id").dropDuplicates(["vec_id", "v"]), tree, layout, k, own)
 
     def meet(_key, left: pa.Table, right: pa.Table) -> pa.Table:
         if left.num_rows and right.num_rows:
