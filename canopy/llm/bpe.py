@@ -30,9 +30,9 @@ from canopy.llm.common import table, text_or_empty
 #: The pre-token pattern of the public byte-level vocabularies.
 PRE_TOKEN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Pieces and pre-tokens whose ids a Python worker keeps; the table is emptied when full.
-KEPT = 400_000
+KEPT = 80_000
 #: Texts that are encoded together.
-TEXTS_AT_ONCE = 256
+TEXTS_AT_ONCE = 128
 NO_MERGE = 1 << 60
 
 
@@ -220,8 +220,8 @@ class ByteBPE:
             else:
                 by_size.setdefault(size, []).append((w, data))
         for size, some in by_size.items():
-            for at in range(0, len(some), 16384):
-                part = some[at : at + 16384]
+            for at in range(0, len(some), 4096):
+                part = some[at : at + 4096]
                 words.update(zip([w for w, _ in part], self.merge_many([d for _, d in part], size), strict=True))
 
     def rank_of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
