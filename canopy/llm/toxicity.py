@@ -5,12 +5,14 @@ character n-grams, with word edges) beside an embedding of the word itself. Two
 each end; attention weighs their states, and a logistic unit scores the weighted mean. A text's score is that of its
 highest-scoring window, so every window of every text counts.
 
-The network is fitted on the driver, on at most FIT_DOCS labelled rows (chosen by hash of the id, of each at most FIT_CHARS
-characters) whose crc32(doc_id) mod 4 is not 2; the rest is held out. Ids, languages, sources and labels are no inputs of a score.
+The network is fitted on the driver, on at most FIT_DOCS labelled rows (chosen by hash of the id) whose crc32(doc_id) mod 4 is not
+2; the rest is held out. Of a text with more than FIT_WINDOWS windows so many are drawn, evenly over the whole text; tasks draw
+them, so what the driver gets has a bound. Ids, languages, sources and labels are no inputs of a score.
 
 Cases: a null text is an empty one, and an empty text is a window without words, which has a score; words of more than
-LONGEST letters count as several; equal texts get equal scores; labels that are null or neither 0 nor 1 are passed over; repeated
-labels of a document count once (the largest); without labels of both kinds every score is the share of toxic labels (0 without
+LONGEST letters count as several; equal texts get equal scores but for rounding (about 1e-8: products of single precision depend on
+which words share a batch); labels that are null or neither 0 nor 1 are passed over; repeated labels of a document count once (the
+largest), and of rows that repeat an id the least text is learnt; without labels of both kinds every score is the share of toxic labels (0 without
 any); an empty table gives an empty result; further columns are not read.
 """
 
@@ -25,9 +27,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from canopy.llm.common import table, text_or_empty
+from canopy.llm.common import give_back, table, text_or_empty
 
-FIT_DOCS, FIT_CHARS = 5000, 20_000
+FIT_DOCS, FIT_WINDOWS = 5000, 192
 WINDOW, STEP, LONGEST = 32, 16, 24
 WORD_ROWS, WORD_DIM, GRAM_ROWS, GRAM_DIM = 1 << 14, 6, 1 << 14, 10
 HIDDEN, ATTENTION = 8, 8
@@ -36,7 +38,7 @@ STEPS, BATCH, RATE = 500, 160, 0.015
 THRESHOLD = 0.3
 #: Words whose inputs a Python worker keeps; the table is emptied when full.
 KEPT = 200_000
-WINDOWS_AT_ONCE = 4096
+WINDOWS_AT_ONCE, WORDS_AT_ONCE = 2048, 8192
 EDGES = ".,;:!?\"'()[]{}<>*$%&#|-_/\\=+~^@`0123456789"
 
 
@@ -49,6 +51,9 @@ def words_of(text: str) -> list[str]:
 
 def features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row of each word's embedding; rows of the n-grams of all words, and how many each word has."""
+    if len(words) > WORDS_AT_ONCE:  # as arrays, these take a tenth of the memory
+        parts = [features(words[i : i + WORDS_AT_ONCE]) for i in range(0, len(words), WORDS_AT_ONCE)]
+        return tuple(np.concatenate(c) for c in zip(*parts, strict=True))
     crc, own, grams, counts = zlib.crc32, [], [], []
     for raw in words:
         w = raw.strip(EDGES) or raw
@@ -67,6 +72,15 @@ def window_starts(n: int) -> list[int]:
     return [*range(0, n - WINDOW, STEP), n - WINDOW]
 
 
+def segments(text: str, n: int = FIT_WINDOWS, chance: float = 0.5) -> list[str]:
+    """The text if it has n windows at most; else n of its windows, one from each n-th of them."""
+    words = words_of(text)
+    starts = window_starts(len(words))
+    if len(starts) <= n:
+        return [text]
+    return [" ".join(words[s : s + WINDOW]) for s in (starts[int((i + chance) * len(starts) / n)] for i in range(n))]
+
+
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-x))
 
@@ -175,8 +189,11 @@ class Network:
         return g, d_x
 
 
-def fit(texts: list[str], labels: list[int], seed: int = 5) -> Network:
-    """Windows stand for their text: at first any, later the one that scores highest, and another by chance."""
+def fit(texts: list[str | list[str]], labels: list[int], seed: int = 5) -> Network:
+    """Windows stand for their text: at first any, later the one that scores highest, and another by chance.
+
+    A text may come as a list of segments of it.
+    """
     y = np.array(labels, np.float32)
     if len(y) == 0 or y.min() == y.max():
         return Network({}, float(y.mean()) if len(y) else 0.0)
@@ -184,18 +201,20 @@ def fit(texts: list[str], labels: list[int], seed: int = 5) -> Network:
     vocab: dict[str, int] = {}
     rows, owner = [], []
     for i, text in enumerate(texts):
-        ids = [vocab.setdefault(w, len(vocab)) for w in words_of(text)]
-        for s in window_starts(len(ids)):
-            part = ids[s : s + WINDOW]
-            rows.append(part + [-1] * (WINDOW - len(part)))
-            owner.append(i)
-    windows, owner = np.array(rows, np.int32), np.array(owner, np.int32)
+        for part in [text] if isinstance(text, str) else text:
+            ids = np.array([vocab.setdefault(w, len(vocab)) for w in words_of(part)], np.int32)
+            starts = np.array(window_starts(len(ids)))
+            rows.append(np.append(ids, np.full(WINDOW, -1, np.int32))[starts[:, None] + np.arange(WINDOW)])
+            owner.append(np.full(len(starts), i, np.int32))
+    windows, owner = np.concatenate(rows), np.concatenate(owner)
     del rows
     there = windows >= 0
-    windows = np.where(there, windows, len(vocab))
+    windows[~there] = len(vocab)
     first = np.searchsorted(owner, np.arange(len(texts)))
     n_windows = np.append(first[1:], len(owner)) - first
     own, grams, counts = features(list(vocab))
+    n_words = len(vocab)
+    del vocab
     start = np.cumsum(counts) - counts
     net = Network.fresh()
     moment = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in net.p.items()}
@@ -214,7 +233,7 @@ def fit(texts: list[str], labels: list[int], seed: int = 5) -> Network:
         by_chance = (rng.random(BATCH) < 0.5) & ((y[docs] == 0) | (step < STEPS // 5))
         pick = np.where(by_chance, any_one, top[docs])
         part, inverse = np.unique(windows[pick].T, return_inverse=True)
-        real = part < len(vocab)
+        real = part < n_words
         x = np.zeros((len(part), WORD_DIM + GRAM_DIM), np.float32)
         used = part[real]
         flat = np.concatenate([grams[start[w] : start[w] + counts[w]] for w in used]) if len(used) else np.zeros(0, np.int64)
@@ -292,13 +311,25 @@ def held_out(key: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(key).cast("string")) % 4 == 2, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS, fit_chars: int = FIT_CHARS) -> Network:
+def train(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS, fit_windows: int = FIT_WINDOWS) -> Network:
     """Fit on a bounded sample of the labelled rows that are not held out."""
     known = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out())
     sample = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_docs)
-    rows = docs.select("doc_id", F.substring(text_or_empty(), 1, fit_chars).alias("text")).join(F.broadcast(sample), "doc_id").collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["text"]))
-    return fit([r["text"] for r in rows], [r["toxic"] for r in rows])
+    rows = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic"))
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            chance = [zlib.crc32(str(i).encode()) / 2**32 for i in b.column(0).to_pylist()]
+            drawn = [segments(t.as_py(), fit_windows, c) for t, c in zip(b.column(1), chance, strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(drawn, pa.list_(pa.string()))], names=["doc_id", "toxic", "segments"])
+
+    got = rows.mapInArrow(draw, "doc_id long, toxic int, segments array<string>").toArrow().sort_by("doc_id")
+    texts, toxic = got["segments"].to_pylist(), got["toxic"].to_pylist()
+    del got
+    net = fit(texts, toxic)
+    del texts
+    give_back()
+    return net
 
 
 def with_score(docs: DataFrame, net: Network, text: str = "text", score: str = "score") -> DataFrame:
@@ -317,6 +348,8 @@ def with_score(docs: DataFrame, net: Network, text: str = "text", score: str = "
                 i = part.schema.get_field_index(text)
                 got = scorer.scores([t or "" for t in part.column(i).to_pylist()])
                 yield part.append_column(score, pa.array(got, pa.float64()))
+        del scorer
+        give_back()
 
     return docs.mapInArrow(work, schema)
 
