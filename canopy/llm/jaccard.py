@@ -600,24 +600,27 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     return classes_and_roots(docs, key, text)[0]
 
 
-def with_root(docs: DataFrame, root: DataFrame, text: str = "text") -> DataFrame:
-    """docs and root, the component of each row's set by the roots of classes_and_roots; null for the empty set."""
+def with_root(docs: DataFrame, root: DataFrame, text: str = "text", name: str = "root") -> DataFrame:
+    """docs and `name`, the component of each row's set by the roots of classes_and_roots; null for the empty set."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = pa.RecordBatch.from_arrays([pa.array(range(b.num_rows), pa.int64()), b.columns[-1]], names=["at", "text"])
             sig = [signature(s) if len(s) else None for _, sets in _texts(iter([texts])) for s in sets]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(sig, pa.int64())], names=[*b.schema.names[:-1], "root"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(sig, pa.int64())], names=[*b.schema.names[:-1], name])
 
-    schema = T.StructType([*docs.schema.fields, T.StructField("root", T.LongType())])
+    schema = T.StructType([*docs.schema.fields, T.StructField(name, T.LongType())])
+    whole = [F.col(f"`{c}`") for c in docs.columns]
     with small_batches(docs.sparkSession, BATCH_ROWS):
-        rows = stored(docs.withColumn("__text", F.encode(text_or_empty(text), "UTF-8")).mapInArrow(work, schema), "signed")
-    top = root.select(F.col("node").alias("root"), F.col("root").alias("__top"))
-    return rows.join(top, "root", "left").select(*docs.columns, F.coalesce("__top", "root").alias("root"))
+        # the last column replaces no column of docs: it goes to Python by position
+        rows = stored(docs.select(*whole, F.encode(text_or_empty(text), "UTF-8").alias(name)).mapInArrow(work, schema), "signed")
+    of = root.select(F.col("node").alias(name), F.col("root").alias(f"{name}_of"))
+    both = rows.join(of, name, "left")
+    return both.select(*[rows[f"`{c}`"] for c in docs.columns], F.coalesce(of[f"{name}_of"], rows[name]).alias(name))
 
 
-def classes_and_roots(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """doc_id, n_shingles, component_id of every row; node, root of the sets that link to others."""
+def classes_and_roots(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """doc_id, n_shingles, component_id of every row; node, root of the sets that link to others; root, component_id."""
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.encode(text_or_empty(text), "UTF-8").alias("text"))
     with small_batches(docs.sparkSession, BATCH_ROWS):
         nodes = stored(nodes_of(rows), "nodes")
@@ -628,7 +631,7 @@ def classes_and_roots(docs: DataFrame, key: str = "doc_id", text: str = "text")
     # only sets with copies or links differ from their own id: the rest need no second look
     least = top.groupBy("root").agg(F.min("least").alias("component_id"))
     where = stored(top.filter(F.col("root").isNotNull()).join(least, "root").filter((F.col("copies") > 1) | (F.col("component_id") != F.col("least"))).select("sig", "component_id"), "classes")
-    return nodes.join(where, "sig", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")), root
+    return nodes.join(where, "sig", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")), root, least
 
 
 def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
