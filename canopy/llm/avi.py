@@ -20,6 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from canopy.llm.common import table, text_or_empty
 
@@ -335,26 +336,19 @@ def to_media(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(work, "doc_id long, n_bytes long, media binary")
 
 
-def clip_rows(media: DataFrame) -> DataFrame:
-    """doc_id, clip, first_frame, n_frames, start_s, end_s: a row for each shot of each AVI."""
+#: What a stored AVI holds, and its shots: the operator's output, of which clip rows and the query's columns are made.
+DECODED = (
+    "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, n_frames long, "
+    "clips array<struct<first_frame: long, n_frames: long, start_s: double, end_s: double>>"
+)
+_CLIPS = pa.list_(pa.struct([("first_frame", pa.int64()), ("n_frames", pa.int64()), ("start_s", pa.float64()), ("end_s", pa.float64())]))
+_NAMES = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "n_frames", "clips"]
+_TYPES = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), _CLIPS]
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = []
-            for part in _batched(b, [len(m.as_buffer()) for m in b.column(1)]):
-                for key, s, n, sec in zip(part.column(0).to_pylist(), *decode_many(part.column(1).to_pylist()), strict=True):
-                    out += [(key, i, *c) for i, c in enumerate(clips(histograms(s, n), sec))]
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], names=["doc_id", "clip", "first_frame", "n_frames", "start_s", "end_s"])
 
-    return media.select("doc_id", "media").mapInArrow(work, "doc_id long, clip long, first_frame long, n_frames long, start_s double, end_s double")
-
-
-def read_back(media: DataFrame) -> DataFrame:
-    """The digests of what each AVI stores, and its shots as one string."""
-    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_frames long, n_clips long"
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64()]
-    names = [x.split()[0] for x in schema.split(", ")]
+def decoded(media: DataFrame) -> DataFrame:
+    """DECODED of each AVI: sizes and digests of its samples and of the file, and the clips between its shots, in order."""
+    clip = ("first_frame", "n_frames", "start_s", "end_s")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -363,12 +357,23 @@ def read_back(media: DataFrame) -> DataFrame:
                 out = []
                 for key, n_bytes, m, samples, lines, seconds in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), stored, *decode_many(stored), strict=True):
                     data = samples.tobytes()
-                    shots = clips(histograms(samples, lines), seconds)
-                    feature = f"{len(lines)}f;" + ",".join(f"{s:.2f}-{e:.2f}" for _, _, s, e in shots)
-                    out.append((key, n_bytes, len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-64:]), len(m), hashlib.sha256(m).hexdigest(), feature, len(lines), len(shots)))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
+                    shots = [dict(zip(clip, c, strict=True)) for c in clips(histograms(samples, lines), seconds)]
+                    out.append((key, n_bytes, len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-64:]), len(m), hashlib.sha256(m).hexdigest(), len(lines), shots))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), _TYPES, strict=True)], names=_NAMES)
 
-    return media.mapInArrow(work, schema)
+    return media.select("doc_id", "n_bytes", "media").mapInArrow(work, DECODED)
+
+
+def clip_rows(media: DataFrame) -> DataFrame:
+    """doc_id, clip, first_frame, n_frames, start_s, end_s: a row for each shot of each AVI."""
+    return decoded(media).select("doc_id", F.posexplode("clips").alias("clip", "c")).select("doc_id", F.col("clip").cast("long").alias("clip"), "c.*")
+
+
+def read_back(media: DataFrame) -> DataFrame:
+    """The digests of what each AVI stores, the number of its clips, and their times as one string."""
+    times = F.array_join(F.transform("clips", lambda c: F.format_string("%.2f-%.2f", c["start_s"], c["end_s"])), ",")
+    feature = F.concat(F.col("n_frames").cast("string"), F.lit("f;"), times)
+    return decoded(media).withColumns({"feature": feature, "n_clips": F.size("clips").cast("long")}).drop("clips")
 
 
 def op1_avi(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,9 +1,11 @@
 """WARC archives as a chunked record table.
 
-An archive is a table of rows (archive, seq, record_id, chunk_no, n_chunks, data): the bytes of one WARC record cut into
-chunks of bounded size. Joined in the order of archive, seq and chunk_no they are a WARC/1.1 file. A record of one chunk is
-parsed where it lies; the chunks of larger ones are brought together by record and streamed in order, so that a task holds
-one chunk and a running digest, never a whole record.
+An archive is a table of rows (archive, seq, record_id, chunk_no, n_chunks, running_digest, data): the bytes of one WARC
+record cut into chunks of bounded size, each with the SHA-1 (base32) of the record's payload up to its end. Joined in the
+order of archive, seq and chunk_no they are a WARC/1.1 file. A record of one chunk is parsed where it lies; the chunks of
+larger ones are brought together by record and streamed in order, so that a reading task holds one chunk and a running
+digest, never a whole record. The digest is held against each chunk's, so damage is found at the chunk that has it, and a
+missing, repeated or cut chunk raises.
 
 A payload occurs once as a response, under the smallest page id that has it; other pages with it are revisit records that
 refer to that page. Cases: a null html is an empty payload; empty payloads count like others; rows repeated with the
@@ -30,7 +32,9 @@ SALTS = 16
 DATE = "1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
-RECORDS = "archive string, seq long, record_id string, chunk_no long, n_chunks long, data binary"
+RECORDS = "archive string, seq long, record_id string, chunk_no long, n_chunks long, running_digest string, data binary"
+RECORD_COLUMNS = [c.split()[0] for c in RECORDS.split(", ")]
+RECORD_TYPES = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
 PARSED = "record_id string, payload_bytes long, payload_digest string, record_type string, refers_to string, uri string"
 
 
@@ -54,6 +58,14 @@ def with_first(pages: DataFrame) -> DataFrame:
     )
 
 
+def base32(digest: bytes) -> str:
+    return base64.b32encode(digest).decode()
+
+
+def as_batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), RECORD_TYPES, strict=True)], names=RECORD_COLUMNS)
+
+
 def header(kind: str, record_id: str, url: str, digest: bytes, size: int, refers_to: str | None) -> bytes:
     uri = re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url)
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
@@ -63,7 +75,7 @@ def header(kind: str, record_id: str, url: str, digest: bytes, size: int, refers
         f"WARC-Record-ID: <urn:page:{record_id}>",
         f"WARC-Target-URI: {uri}",
         f"WARC-Date: {DATE}",
-        f"WARC-Payload-Digest: sha1:{base64.b32encode(digest).decode()}",
+        f"WARC-Payload-Digest: sha1:{base32(digest)}",
         *([f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: <urn:page:{refers_to}>"] if kind == "revisit" else []),
         "Content-Type: application/http; msgtype=response",
         f"Content-Length: {len(http) + (size if kind == 'response' else 0)}",
@@ -78,8 +90,6 @@ def write_records(rows: DataFrame, chunk: int = CHUNK) -> DataFrame:
         from pyspark import TaskContext
 
         archive, seq = f"part-{TaskContext.get().partitionId():06d}.warc", 0
-        names = ["archive", "seq", "record_id", "chunk_no", "n_chunks", "data"]
-        types = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.binary()]
         out: list[tuple] = []
         held = 0
         for b in batches:
@@ -91,17 +101,19 @@ def write_records(rows: DataFrame, chunk: int = CHUNK) -> DataFrame:
                 head = header(kind, record, url, digest, len(body), None if first is None else str(first))
                 if kind == "revisit":
                     body = body[:0]
-                n = max(1, -(-len(body) // chunk))
+                n, sha1 = max(1, -(-len(body) // chunk)), hashlib.sha1()
                 for k in range(n):
-                    data = (head if k == 0 else b"") + bytes(body[k * chunk : (k + 1) * chunk]) + (b"\r\n\r\n" if k == n - 1 else b"")
-                    out.append((archive, seq, record, k, n, data))
+                    part = body[k * chunk : (k + 1) * chunk]
+                    sha1.update(part)
+                    data = b"".join([head if k == 0 else b"", part, b"\r\n\r\n" if k == n - 1 else b""])
+                    out.append((archive, seq, record, k, n, base32(sha1.digest()), data))
                     held += len(data)
                     if held >= 4 * chunk:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
+                        yield as_batch(out)
                         out, held = [], 0
                 seq += 1
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
+            yield as_batch(out)
 
     return rows.mapInArrow(work, RECORDS)
 
@@ -126,11 +138,14 @@ class RecordReader:
         self.sha1.update(part)
         self.left -= len(part)
 
+    def digest(self) -> str:
+        return base32(self.sha1.digest())
+
     def done(self) -> tuple:
         kind, said = self.fields["warc-type"], self.fields["warc-payload-digest"].removeprefix("sha1:")
         if self.left:
             raise ValueError(f"record {self.fields['warc-record-id']} is cut short")
-        if kind == "response" and base64.b32encode(self.sha1.digest()).decode() != said:
+        if kind == "response" and self.digest() != said:
             raise ValueError(f"record {self.fields['warc-record-id']} does not have its payload digest")
         name = lambda v: None if v is None else v.removeprefix("<urn:page:").removesuffix(">")
         return name(self.fields["warc-record-id"]), self.size, said, kind, name(self.fields.get("warc-refers-to")), self.fields["warc-target-uri"]
@@ -143,7 +158,7 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     reader, expect = None, 0
     for b in batches:
         out = []
-        for no, total, data in zip(b.column(3).to_pylist(), b.column(4).to_pylist(), b.column(5), strict=True):
+        for no, total, digest, data in zip(*(b.column(i).to_pylist() for i in (3, 4, 5)), b.column(6), strict=True):
             data = data.as_py()
             if no != expect:
                 raise ValueError(f"chunk {no} where chunk {expect} should be")
@@ -151,6 +166,8 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 reader = RecordReader(data)
             else:
                 reader.add(data)
+            if reader.digest() != digest:
+                raise ValueError(f"chunk {no} of record {reader.fields['warc-record-id']} does not have its digest")
             expect = (no + 1) % total
             if expect == 0:
                 out.append(reader.done())
@@ -162,28 +179,14 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read_records(archives: DataFrame) -> DataFrame:
     """RECORDS -> PARSED, one row a record. Only records of several chunks are moved."""
-    cols = ["archive", "seq", "record_id", "chunk_no", "n_chunks", "data"]
-    one = archives.filter("n_chunks = 1").select(cols)
-    many = archives.filter("n_chunks > 1").select(cols).repartition("archive", "seq").sortWithinPartitions("archive", "seq", "chunk_no")
+    one = archives.filter("n_chunks = 1").select(RECORD_COLUMNS)
+    many = archives.filter("n_chunks > 1").select(RECORD_COLUMNS).repartition("archive", "seq").sortWithinPartitions("archive", "seq", "chunk_no")
     return one.mapInArrow(_parse, PARSED).unionByName(many.mapInArrow(_parse, PARSED))
 
 
 def chunk_table(archives: DataFrame) -> DataFrame:
-    """record_id, chunk_no, bytes and the SHA-1 of the record's bytes up to this chunk, for records of any size."""
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sha1 = hashlib.sha1()
-        for b in batches:
-            running = []
-            for no, data in zip(b.column(3).to_pylist(), b.column(5), strict=True):
-                if no == 0:
-                    sha1 = hashlib.sha1()
-                sha1.update(data.as_buffer())
-                running.append(sha1.copy().hexdigest())
-            yield pa.RecordBatch.from_arrays([b.column(2), b.column(3), pa.array([len(d.as_buffer()) for d in b.column(5)], pa.int64()), pa.array(running, pa.string())], names=["record_id", "chunk_no", "bytes", "running_sha1"])
-
-    ordered = archives.select("archive", "seq", "record_id", "chunk_no", "n_chunks", "data").repartition("archive", "seq").sortWithinPartitions("archive", "seq", "chunk_no")
-    return ordered.mapInArrow(work, "record_id string, chunk_no long, bytes long, running_sha1 string")
+    """record_id, chunk_no, n_chunks, bytes and the digest of the record's payload up to this chunk; nothing is moved."""
+    return archives.select("record_id", "chunk_no", "n_chunks", F.octet_length("data").cast("long").alias("bytes"), "running_digest")
 
 
 def archive(pages: DataFrame, chunk: int = CHUNK) -> DataFrame:
