@@ -322,10 +322,8 @@ def default_vocabulary() -> str:
 
 def encoded(docs: DataFrame, vocabulary: str | None = None, text: str = "text", key: str = "doc_id") -> DataFrame:
     """`key`, ids (binary, little-endian unsigned 32-bit) and the decoded text of every row."""
-    path = vocabulary or default_vocabulary()
-
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = load(path)
+        bpe = load(vocabulary or default_vocabulary())
         for batch in batches:
             for at in range(0, batch.num_rows, TEXTS_AT_ONCE):
                 part = batch.slice(at, TEXTS_AT_ONCE)
@@ -337,10 +335,8 @@ def encoded(docs: DataFrame, vocabulary: str | None = None, text: str = "text",
 
 def token_digests(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     """doc_id, n_tokens, and digests of the ids and of the decoded text; ids and texts stay in the task that made them."""
-    path = vocabulary or default_vocabulary()
-
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = load(path)
+        bpe = load(vocabulary or default_vocabulary())
         for batch in batches:
             for at in range(0, batch.num_rows, TEXTS_AT_ONCE):
                 part = batch.slice(at, TEXTS_AT_ONCE)

@@ -101,10 +101,8 @@ def load(path: str) -> Counter:
 
 def token_counts(docs: DataFrame, vocabulary: str | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """`key`, n_words and n_tokens of every row."""
-    path = vocabulary or default_vocabulary()
-
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = load(path)
+        counter = load(vocabulary or default_vocabulary())
         for b in batches:
             words, tokens = [], []
             for t in b.column(1):
