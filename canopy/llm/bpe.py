@@ -25,7 +25,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from canopy.llm.common import table, text_or_empty
+from canopy.llm.common import give_back, table, text_or_empty
 
 #: The pre-token pattern of the public byte-level vocabularies.
 PRE_TOKEN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -329,6 +329,7 @@ def encoded(docs: DataFrame, vocabulary: str | None = None, text: str = "text",
                 part = batch.slice(at, TEXTS_AT_ONCE)
                 ids = bpe.encode_batch(part.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary()), pa.array(bpe.decode_batch(ids), pa.string())], names=[key, "ids", "decoded"])
+            give_back()
 
     return docs.select(key, text_or_empty(text).alias("text")).mapInArrow(work, f"{key} {docs.schema[key].dataType.simpleString()}, ids binary, decoded string")
 
@@ -344,6 +345,7 @@ def token_digests(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
                 of_ids = [hashlib.sha256(i).hexdigest() for i in ids]
                 of_text = [hashlib.sha256(t.encode("utf-8")).hexdigest() for t in bpe.decode_batch(ids)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            give_back()
 
     return docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(work, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
