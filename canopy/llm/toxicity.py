@@ -39,6 +39,8 @@ THRESHOLD = 0.3
 #: Words whose inputs a Python worker keeps; the table is emptied when full.
 KEPT = 200_000
 WINDOWS_AT_ONCE, WORDS_AT_ONCE = 2048, 8192
+#: An odd number a place in a word with its edges, and one a length of n-grams.
+PLACES = np.random.default_rng(11).integers(1, 1 << 63, LONGEST + 2 + max(GRAMS), dtype=np.uint64) | np.uint64(1)
 EDGES = ".,;:!?\"'()[]{}<>*$%&#|-_/\\=+~^@`0123456789"
 
 
@@ -49,20 +51,37 @@ def words_of(text: str) -> list[str]:
     return words
 
 
+def scattered(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    return x ^ (x >> np.uint64(29))
+
+
 def features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row of each word's embedding; rows of the n-grams of all words, and how many each word has."""
-    if len(words) > WORDS_AT_ONCE:  # as arrays, these take a tenth of the memory
+    """Row of each word's embedding; rows of the n-grams of all words, and how many each word has.
+
+    Hashes are sums of code points times odd numbers by place, over all words side by side.
+    """
+    if len(words) > WORDS_AT_ONCE:  # bounds the arrays of places
         parts = [features(words[i : i + WORDS_AT_ONCE]) for i in range(0, len(words), WORDS_AT_ONCE)]
         return tuple(np.concatenate(c) for c in zip(*parts, strict=True))
-    crc, own, grams, counts = zlib.crc32, [], [], []
-    for raw in words:
-        w = raw.strip(EDGES) or raw
-        own.append(crc(w.encode()) % WORD_ROWS)
-        s = f"<{w}>"
-        some = [crc(s[i : i + n].encode()) % GRAM_ROWS for n in GRAMS for i in range(len(s) - n + 1)] or [crc(s.encode()) % GRAM_ROWS]
-        grams += some
-        counts.append(len(some))
-    return np.array(own, np.int32), np.array(grams, np.int32), np.array(counts, np.int64)
+    if not words:
+        return np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.int64)
+    bare = [w.strip(EDGES) or w for w in words]
+    code = np.frombuffer(f"<{'><'.join(bare)}>".encode("utf-32-le"), np.uint32).astype(np.uint64)
+    length = np.fromiter(map(len, bare), np.int64, len(bare)) + 2
+    start = np.cumsum(length) - length
+    place = np.arange(len(code)) - np.repeat(start, length)
+    own = scattered(np.add.reduceat(code * PLACES[place], start)) % np.uint64(WORD_ROWS)
+    left = np.repeat(length, length) - place  # letters from here to the end of the word
+    grams = np.zeros((len(code), len(GRAMS)), np.uint64)
+    for k, n in enumerate(GRAMS):
+        m = max(len(code) - n + 1, 0)
+        for i in range(n):
+            grams[:m, k] += code[i : i + m] * PLACES[i]
+        grams[:m, k] += PLACES[-n]
+    there = left[:, None] >= np.array(GRAMS)
+    rows = scattered(grams[there]) % np.uint64(GRAM_ROWS)
+    return own.astype(np.int32), rows.astype(np.int32), np.add.reduceat(there.sum(1), start)
 
 
 def window_starts(n: int) -> list[int]:
