@@ -164,11 +164,38 @@ class Network:
         mean = (a[:, :, None] * states).sum(0)
         return mean @ self.p["out"] + self.p["out_b"][0], mean, a, e
 
+    def sweep(self, side: str, table: np.ndarray, windows: np.ndarray, states: np.ndarray) -> None:
+        """layer() without the way back: states [T, H, B] are filled with one row a unit, so that each step works on whole rows."""
+        u = np.ascontiguousarray(self.p[f"u{side}"].T)
+        h = np.zeros((HIDDEN, len(windows)), np.float32)
+        for t in range(WINDOW) if side == "f" else range(WINDOW - 1, -1, -1):
+            x, g = np.ascontiguousarray(table[windows[:, t]].T), u @ h
+            zr = x[: 2 * HIDDEN]
+            zr += g[: 2 * HIDDEN]
+            np.exp(np.negative(zr, out=zr), out=zr)
+            zr += 1
+            np.reciprocal(zr, out=zr)
+            n = x[2 * HIDDEN :]
+            n += zr[HIDDEN:] * g[2 * HIDDEN :]
+            np.tanh(n, out=n)
+            h -= n
+            h *= zr[:HIDDEN]
+            h += n
+            states[t] = h
+
     def score(self, left: np.ndarray, right: np.ndarray, windows: np.ndarray, there: np.ndarray) -> np.ndarray:
         """Logits of windows [B, T] of word numbers; left, right: the words' inputs to either layer."""
-        f = self.layer("f", [left[windows[:, t]] for t in range(WINDOW)])
-        b = self.layer("b", [right[windows[:, t]] for t in range(WINDOW - 1, -1, -1)])[::-1]
-        return self.pool(np.concatenate([np.stack(f), np.stack(b)], axis=2), there.T)[0]
+        states = np.empty((WINDOW, 2 * HIDDEN, len(windows)), np.float32)
+        with np.errstate(over="ignore"):  # exp of a large number: the gate is shut
+            self.sweep("f", left, windows, states[:, :HIDDEN])
+            self.sweep("b", right, windows, states[:, HIDDEN:])
+        e = self.p["att"].T @ states
+        e += self.p["att_b"][:, None]
+        a = np.where(there.T, (self.p["att_v"] @ np.tanh(e, out=e)), np.float32(-30))
+        a = np.exp(a - a.max(0))
+        a /= a.sum(0)
+        mean = np.einsum("tb,thb->hb", a, states)
+        return self.p["out"] @ mean + self.p["out_b"][0]
 
     def gradients(self, x: np.ndarray, there: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
         """Of the weighted log loss over windows with inputs x [T, B, D]; also with regard to x."""
