@@ -103,9 +103,16 @@ def pax_time(text: Column) -> tuple[Column, Column]:
 
 
 def octal(text: Column) -> Column:
-    """Octal digits up to a space or the end; null where there are none."""
-    digits = F.regexp_extract(text, r"^\s*([0-7]+)(?: .*)?$", 1)
-    return F.when(digits != "", F.conv(digits, 8, 10).cast("long"))
+    """Octal digits, with a sign or none, up to a space or the end; null where there are none."""
+    digits = F.regexp_extract(text, r"^\s*(?:\+(?=[0-7]))?(-?[0-7]+)(?: .*)?$", 1)
+    return F.when(digits != "", F.conv(digits, 8, -10).cast("long"))
+
+
+def octal_field(value: Column, digits: int = 7) -> Column:
+    """The number as octal text and a space: `digits` digits, more where it has more, after the sign of a negative one."""
+    text = F.conv(value.cast("string"), 10, -8)
+    bare = F.ltrim(text, F.lit("-"))
+    return F.concat(F.when(value < 0, "-").otherwise(""), F.lpad(bare, F.greatest(F.length(bare), F.lit(digits)), F.lit("0")), F.lit(" "))
 
 
 def uuid_text(raw: Column) -> Column:

@@ -252,7 +252,7 @@ query("s2d_pax_times", """SELECT event_id, CASE WHEN event_id % 4 = 3 THEN NULL
     lambda s, d: table(s, d, "events").withColumn("t", F.element_at(F.array(F.concat("event_id", F.lit(".5")), F.concat(F.lit("-"), "event_id", F.lit(".25")), F.concat("event_id", F.lit(".1234567899")), F.concat("event_id", F.lit("."))), (F.col("event_id") % 4 + 1).cast("int")))
     .select("event_id", (x := C.pax_time(F.col("t")))[0].alias("s"), x[1].alias("ns")))
 query("s2e_octal_fields", "SELECT o_orderkey, CASE WHEN o_orderkey % 9 = 0 THEN NULL ELSE o_orderkey END AS v FROM orders")(
-    lambda s, d: table(s, d, "orders").select("o_orderkey", C.octal(F.when(F.col("o_orderkey") % 9 == 0, F.lit(" ")).otherwise(F.concat(F.lpad(F.conv(F.col("o_orderkey").cast("string"), 10, 8), 7, "0"), F.lit(" ")))).alias("v")))
+    lambda s, d: table(s, d, "orders").select("o_orderkey", C.octal(F.when(F.col("o_orderkey") % 9 == 0, F.lit(" ")).otherwise(C.octal_field(F.col("o_orderkey")))).alias("v")))
 query("s2c_header_precedence", """WITH h AS (SELECT event_id AS seq, user_id % 5 AS archive, CASE WHEN event_id % 10 = 0 THEN 'g' || event_id END AS g, CASE WHEN event_id % 3 = 0 THEN 'x' || event_id END AS x, 'u' || event_id AS u FROM events)
 SELECT seq, coalesce(x, last_value(g IGNORE NULLS) OVER (PARTITION BY archive ORDER BY seq ROWS UNBOUNDED PRECEDING), u) AS path FROM h""")(lambda s, d: _precedence(s, d))
 

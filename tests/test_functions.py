@@ -97,6 +97,18 @@ def test_tar_numbers_and_times():
     assert tar.url_decode("a%41+%zz") == "aA+%zz"
 
 
+def test_octal_fields_of_any_number(spark, tmp_path):
+    from canopy.plans.catalog import QUERIES
+
+    keys = [1, 7, 9, 2097151, 2097152, 8999999, 1 << 33, (1 << 63) - 1, -1, -2097153, -(1 << 63), 0, None]
+    spark.createDataFrame([(k,) for k in keys], "o_orderkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    found = {r["o_orderkey"]: r["v"] for r in QUERIES["s2e_octal_fields"](spark, str(tmp_path)).collect()}
+    assert found == {k: None if k is None or k % 9 == 0 else k for k in keys}
+    texts = ["0000755 ", " 17 x", "+5", "-0000005 ", "+-5", "8", "", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r[0] for r in df.select(columns.octal(F.col("t"))).collect()] == [0o755, 15, 5, -5, None, None, None, None]
+
+
 def archive(fmt=tarfile.PAX_FORMAT, **files):
     buf = io.BytesIO()
     with tarfile.open(fileobj=buf, mode="w", format=fmt) as t:
