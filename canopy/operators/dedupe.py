@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from canopy.operators.membership import bitmap, may_hold
+
 
 def chunks(files: DataFrame, size: int, content: str = "content") -> DataFrame:
     """path, chunk_no, off, clen, digest of each chunk; the last is as long as it is. Empty files have none."""
@@ -52,86 +54,182 @@ def tail_groups(files: DataFrame, content: str = "content", length: int = 64) ->
     return t.groupBy("tail").agg(F.count("*").alias("n_files"), F.min("path").alias("first_path")).filter("n_files > 1")
 
 
-def suffix_matches(files: DataFrame, content: str = "content", length: int = 64, whole_only: bool = False) -> DataFrame:
+def suffix_matches(files: DataFrame, content: str = "content", length: int = 64, whole_only: bool = False, settle: int = 4 << 20) -> DataFrame:
     """path, match_path, match_len: each file's longest common suffix with any file of smaller path, `length` bytes at least.
 
-    Of several files with that suffix the least path is given; files are of more than `length` bytes. Suffixes meet by digest,
-    never in pairs: first those of length, 2 length, 4 length and so on, then sixteenths of the range that is left, down to single
-    bytes. A file matches at a length when the least path with its digest is smaller. Files that find none at the next length
-    differ there from each other, so a range is settled among them and the least path of the suffix they share, and all rounds
-    together keep no more than two rows a file.
+    Of several files with that suffix the least path is given; files are of more than `length` bytes. Of equal contents only the
+    least path is compared: it finds what its copies find, and no file needs its copies. Suffixes meet by digest, never in pairs,
+    first those of length, 2 length, 4 length and so on. A file matches at a length when the least path with its digest is smaller.
+    Files that find none at the next length differ there from each other, so the lengths between are settled among them and the
+    least path of the suffix they share: in one task where these bytes of a group are `settle` at most, else by digests of
+    sixteenths of the range, again and again, until groups are small or ranges single bytes. Only bytes of such a range, and of
+    the files that take part, are shuffled.
     """
     from canopy.plans.scratch import stored
 
     c = F.col(content).cast("binary")
     t = files.filter(F.octet_length(c) > length).select("path", c.alias("c"))
-    start = t.select("path", "c", F.lit(b"").alias("key"), F.lit(0).cast("long").alias("lo"), F.lit(0).cast("long").alias("width"))
-    open_ = stored(_longer_suffixes(_suffix_digests(start, length)), "suffixes")
-    done = open_.filter("width = 1")
-    open_ = open_.filter("width > 1")
-    # lengths of a range need no more of a file than its end
-    need = open_.select("path", "lo").unionByName(open_.select(F.col("match_path").alias("path"), "lo")).groupBy("path").agg(F.max("lo").alias("most"))
-    ends = stored(t.join(need, "path").select("path", F.expr("substring(c, -cast(least(2 * most, octet_length(c)) as int))").alias("c")), "suffix-ends")
-    while open_.limit(1).count():
-        own = open_.select("path", "key", "lo", "width")
-        members = own.unionByName(open_.select(F.col("match_path").alias("path"), "key", "lo", "width").distinct())
-        further = _longer_suffixes(_suffix_digests(members.join(ends, "path").select("path", "c", "key", "lo", "width"), length))
+    marks = stored(_suffix_marks(t, length), "suffix-marks")
+    once = marks.groupBy("whole").agg(F.min(F.struct("path", "size", "keys")).alias("r"), F.count("*").alias("n"))
+    once = stored(once.select("whole", "n", "r.path", "r.size", "r.keys"), "suffix-contents")
+    levels = once.select("path", F.posexplode("keys").alias("k", "key")).select("path", "key", F.expr(f"shiftleft({length}L, k)").alias("lo"))
+    open_ = stored(_longer_suffixes(levels.withColumn("width", F.col("lo"))), "suffixes")
+    done = None
+    while True:
+        group = open_.groupBy("key").agg(((F.count("*") + 1) * F.max("width")).alias("bytes"), F.count("*").alias("n"))
+        big = stored(group.filter(F.col("bytes") > settle).select("key", "n"), "suffix-groups")
+        # a big group's rows are not dealt by its key: there are few such groups for the rows
+        large = F.broadcast(big.select("key", F.lit(True).alias("large")))
+        now = open_.join(large, "key", "left").withColumn("large", F.coalesce("large", F.lit(False)))
+        least = now.select(F.col("match_path").alias("path"), "key", "lo", "width", "large").distinct().withColumn("own", F.lit(False))
+        members = stored(now.select("path", "key", "lo", "width", "large", F.lit(True).alias("own")).unionByName(least), "suffix-members")
+        settled = _settled(_pieces(t, members.filter("not large")))
+        done = settled if done is None else done.unionByName(settled)
+        open_ = now.filter("large").select("path", "key", "lo", "width", "match_path")
+        if not big.limit(1).count():
+            break
+        further = _longer_suffixes(stored(_range_digests(_pieces(t, members.filter("large"))), "suffix-digests"))
         step = F.greatest(F.floor(F.col("width") / 16), F.lit(1)).cast("long")
         moved = further.select("path", *[F.col(x).alias(f"_{x}") for x in ("key", "lo", "width", "match_path")])
         # who finds nothing stays with its match, and its range ends at the first step
         now = open_.withColumn("width", step).join(moved, "path", "left").select("path", *[F.coalesce(f"_{x}", x).alias(x) for x in ("key", "lo", "width", "match_path")])
         now = stored(now, "suffixes")
-        done, open_ = done.unionByName(now.filter("width = 1")), now.filter("width > 1")
-    out = done.select("path", "match_path", F.col("lo").alias("match_len"))
-    if whole_only:
-        out = out.join(t.select("path", F.octet_length("c").alias("size")), "path").filter("match_len = size").drop("size")
-    return out
+        done = done.unionByName(now.filter("width = 1").select("path", "match_path", F.col("lo").alias("match_len")))
+        open_ = now.filter("width > 1")
+    found = stored(once.drop("keys").join(done, "path", "left"), "suffix-found")
+    own = found.filter("match_len = size" if whole_only else "match_len is not null").select("path", "match_path", "match_len")
+    whole = found.filter("n > 1").select("whole", "n", "size", F.col("path").alias("first"), F.when(F.col("match_len") == F.col("size"), F.col("match_path")).otherwise(F.col("path")).alias("match_path"))
+    copies_ = _meet(marks.select("path", "whole"), whole, "whole").filter("path <> first")
+    return own.unionByName(copies_.select("path", "match_path", F.col("size").alias("match_len")))
 
 
-def _suffix_digests(members: DataFrame, length: int) -> DataFrame:
-    """path, key, lo, width: digests of the suffixes of the next lengths lo of each member, and the width of the range after each.
+def _rows(batch: pa.RecordBatch) -> Iterator[tuple]:
+    """The rows one by one: no second copy of all contents of a batch."""
+    for k in range(batch.num_rows):
+        yield tuple(x[k].as_py() for x in batch.columns)
 
-    members: path, c, key (of the suffix of length lo), lo, width: lengths below lo + width are open; 0: all.
-    """
+
+def _suffix_marks(files: DataFrame, length: int) -> DataFrame:
+    """path, size, whole (the content's digest), keys: digests of its suffixes of length, 2 length, 4 length and so on. files: path, c."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import hashlib
 
         for b in batches:
             rows = []
-            for path, c, key, lo, width in zip(*(x.to_pylist() for x in b.columns), strict=True):
-                if width:
-                    step = max(1, width // 16)
-                    ends = [(n, step) for n in range(lo + step, min(lo + width, len(c) + 1), step)]
-                else:
-                    ends = [(n, n) for k in range(len(c).bit_length()) if (n := length << k) <= len(c)]
-                h, at = hashlib.blake2b(key, digest_size=16), lo
-                for n, w in ends:
+            for path, c in _rows(b):
+                h, at, keys = hashlib.blake2b(digest_size=16), 0, []
+                for n in (length << k for k in range(len(c).bit_length())):
+                    if n > len(c):
+                        break
                     h.update(c[len(c) - n : len(c) - at])
                     at = n
-                    rows.append((path, h.digest() + n.to_bytes(8, "big"), n, w))
+                    keys.append(h.digest())
+                rows.append((path, len(c), hashlib.blake2b(c, digest_size=16).digest(), keys))
             if rows:
-                path, key, lo, width = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(path, pa.string()), pa.array(key, pa.binary()), pa.array(lo, pa.int64()), pa.array(width, pa.int64())], names=["path", "key", "lo", "width"])
+                kinds = (pa.string(), pa.int64(), pa.binary(), pa.list_(pa.binary()))
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["path", "size", "whole", "keys"])
+
+    return files.mapInArrow(work, "path string, size long, whole binary, keys array<binary>")
+
+
+def _pieces(files: DataFrame, members: DataFrame) -> DataFrame:
+    """key, path, lo, width, own, piece: of each member, the bytes before its suffix of length lo, less than width of them.
+
+    files: path, c. Contents of paths that are no members are dropped where they are read, by a bitmap of the members' paths.
+    """
+    words = files.sparkSession.sparkContext.broadcast(bitmap(members.select(F.xxhash64("path"))))
+
+    def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            kept = may_hold(words.value, b.column(0).to_numpy())
+            if len(kept):
+                yield b.take(pa.array(kept)).select([1, 2])
 
-    return members.mapInArrow(work, "path string, key binary, lo long, width long")
+    part = files.select(F.xxhash64("path").alias("h"), "path", "c").mapInArrow(some, "path string, c binary")
+    piece = F.expr("substring(c, cast(greatest(octet_length(c) - lo - width + 2, 1) as int), cast(least(octet_length(c) - lo, width - 1) as int))")
+    return members.join(part, "path").select("key", "path", "lo", "width", "own", piece.alias("piece"))
 
 
-def _longer_suffixes(digests: DataFrame, salts: int = 64) -> DataFrame:
-    """path, key, lo, width, match_path: of each path, its longest suffix that a smaller path has, and the least path that has it.
+def _settled(pieces: DataFrame) -> DataFrame:
+    """path, match_path, match_len of own members of groups that fit in one task.
 
-    The groups' rows are dealt several times, so that no task has all files of one suffix.
+    In the order of paths, each piece goes into a list sorted from its end: its neighbours there share most with it. The least path
+    that shares as much is found along the matches of these, whose lengths fall.
     """
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from bisect import bisect_left
+
+        group = None
+        for b in batches:
+            rows = []
+            for key, path, lo, _, own, piece in _rows(b):
+                if key != group:
+                    group, ordered, names, found = key, [], [], {}
+                turned = piece[::-1]
+                at = bisect_left(ordered, turned)
+                near = [(common_prefix(turned, ordered[k]), names[k]) for k in (at - 1, at) if 0 <= k < len(ordered)]
+                n, match = max(near, default=(-1, None))
+                while match is not None and found[match][1] >= n:
+                    match = found[match][0]
+                found[path] = match, n
+                ordered.insert(at, turned)
+                names.insert(at, path)
+                if own:
+                    rows.append((path, match, lo + n))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), (pa.string(), pa.string(), pa.int64()), strict=True)], names=["path", "match_path", "match_len"])
+
+    return pieces.repartition("key").sortWithinPartitions("key", "path").mapInArrow(work, "path string, match_path string, match_len long")
+
+
+def _range_digests(pieces: DataFrame) -> DataFrame:
+    """path, key, lo, width: digests of each member's suffixes at sixteenths of its range, and the width of the range after each."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import hashlib
+
+        for b in batches:
+            rows = []
+            for key, path, lo, width, _, piece in _rows(b):
+                step = max(1, width // 16)
+                h = hashlib.blake2b(key, digest_size=16)
+                for n in range(step, len(piece) + 1, step):
+                    h.update(piece[len(piece) - n : len(piece) - n + step])
+                    rows.append((path, h.digest(), lo + n, step))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), (pa.string(), pa.binary(), pa.int64(), pa.int64()), strict=True)], names=["path", "key", "lo", "width"])
+
+    return pieces.mapInArrow(work, "path string, key binary, lo long, width long")
+
+
+def _longer_suffixes(digests: DataFrame) -> DataFrame:
+    """path, key, lo, width, match_path: of each path, its longest suffix that a smaller path has, and the least path that has it."""
     from canopy.plans.scratch import stored
 
-    digests = stored(digests, "suffix-digests")
-    least = digests.groupBy("key").agg(F.min("path").alias("match_path"), F.max("path").alias("last")).filter("match_path < last").drop("last")
-    dealt = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    met = digests.withColumn("salt", F.pmod(F.xxhash64("path"), F.lit(salts)).cast("int")).join(dealt, ["key", "salt"]).filter("match_path < path")
+    least = digests.groupBy("key").agg(F.min("path").alias("match_path"), F.max("path").alias("last"), F.count("*").alias("n")).filter("match_path < last").drop("last")
+    met = _meet(digests, stored(least, "suffix-least"), "key").filter("match_path < path")
     best = met.groupBy("path").agg(F.max_by(F.struct("key", "lo", "width", "match_path"), "lo").alias("b"))
     return best.select("path", "b.*")
 
 
+def _meet(rows: DataFrame, groups: DataFrame, key: str, many: int = 20000) -> DataFrame:
+    """rows with the columns of their group (unique keys, n rows each), inner. Groups of more than `many` rows come to the rows:
+
+    no task has all rows of one key, and there are few such groups for the rows.
+    """
+    large = groups.filter(F.col("n") > many)
+    rest = rows.join(F.broadcast(large.select(key)), key, "left_anti").join(groups.filter(F.col("n") <= many), key)
+    return rest.unionByName(rows.join(F.broadcast(large), key))
+
+
+def common_prefix(a: bytes, b: bytes) -> int:
+    n = min(len(a), len(b))
+    differ = np.flatnonzero(np.frombuffer(a, np.uint8)[:n] != np.frombuffer(b, np.uint8)[:n])
+    return int(differ[0]) if len(differ) else n
+
+
 def common_suffix(a: bytes, b: bytes) -> int:
     n = min(len(a), len(b))
     x, y = np.frombuffer(a, np.uint8)[len(a) - n :], np.frombuffer(b, np.uint8)[len(b) - n :]

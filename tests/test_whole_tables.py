@@ -94,3 +94,34 @@ def test_longest_suffix_of_any_file(spark):
     assert found["C"] == ("B", 570) and found == true
     whole = {r["path"]: (r["match_path"], r["match_len"]) for r in dedupe.suffix_matches(df, whole_only=True).collect()}
     assert "C" in whole and whole == {p: v for p, v in true.items() if v[1] == len(files[p])}
+
+
+def shuffled(spark, job):
+    """The result of the job and the bytes that its stages shuffled, spilled and wrote."""
+    sc = spark.sparkContext
+    jvm, store = sc._gateway.jvm, sc._jsc.sc().statusStore()
+
+    def stages():
+        every = store.stageList(jvm.java.util.ArrayList(), False, False, sc._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+        return {(x := every.apply(k)).stageId(): x.shuffleWriteBytes() + x.diskBytesSpilled() + x.outputBytes() for k in range(every.size())}
+
+    before = stages()
+    out = job()
+    return out, sum(v for k, v in stages().items() if k not in before)
+
+
+@pytest.mark.parametrize("whole_only", [True])
+def test_contents_of_copies_are_not_shuffled(spark, whole_only):
+    rng = random.Random(13)
+    text = rng.randbytes(100000)
+    files = {f"c{i:02}": text for i in range(40)} | {f"l{i}": rng.randbytes(100000) for i in range(10)} | {"a": b"more" + text, "m": text[5:], "z": b"x" + text[-300:]}
+    df = spark.createDataFrame([(p, bytearray(c)) for p, c in files.items()], "path string, content binary")
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "-1")  # as with tables that are no longer small
+    try:
+        rows, moved = shuffled(spark, lambda: dedupe.suffix_matches(df, whole_only=whole_only).collect())
+    finally:
+        spark.conf.set(key, before)
+    assert {r["path"]: (r["match_path"], r["match_len"]) for r in rows} == {f"c{i:02}": ("a", 100000) for i in range(40)} | {"m": ("a", 99995)} | ({} if whole_only else {"z": ("a", 300)})
+    assert moved < sum(map(len, files.values())) / 2, moved
