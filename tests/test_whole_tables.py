@@ -110,7 +110,7 @@ def shuffled(spark, job):
     return out, sum(v for k, v in stages().items() if k not in before)
 
 
-@pytest.mark.parametrize("whole_only", [True])
+@pytest.mark.parametrize("whole_only", [True, False])
 def test_contents_of_copies_are_not_shuffled(spark, whole_only):
     rng = random.Random(13)
     text = rng.randbytes(100000)
@@ -125,3 +125,16 @@ def test_contents_of_copies_are_not_shuffled(spark, whole_only):
         spark.conf.set(key, before)
     assert {r["path"]: (r["match_path"], r["match_len"]) for r in rows} == {f"c{i:02}": ("a", 100000) for i in range(40)} | {"m": ("a", 99995)} | ({} if whole_only else {"z": ("a", 300)})
     assert moved < sum(map(len, files.values())) / 2, moved
+
+
+@pytest.mark.parametrize("settle", [0, 1000, 20000])
+def test_suffixes_of_large_groups(spark, settle, monkeypatch):
+    """Groups that no task may hold whole, and keys that are too frequent to be dealt by."""
+    rng = random.Random(17)
+    foot, files = rng.randbytes(200), {}
+    for i in range(60):
+        files[f"f{rng.randrange(10**6):06}"] = rng.randbytes(rng.choice([1, 3, 5, 200])) + rng.choice([b"", b"ab" * rng.randrange(40), b"b" * rng.randrange(90)]) + foot[rng.choice([0, 0, 100]) :]
+    meet = dedupe._meet
+    monkeypatch.setattr(dedupe, "_meet", lambda rows, groups, key: meet(rows, groups, key, many=5))
+    df = spark.createDataFrame([(p, bytearray(c)) for p, c in files.items()], "path string, content binary")
+    assert {r["path"]: (r["match_path"], r["match_len"]) for r in dedupe.suffix_matches(df, settle=settle).collect()} == brute_suffixes(files)
