@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -251,57 +252,67 @@ def pack_tails(tails: DataFrame, buckets: int = 256) -> DataFrame:
 def window_sums(data: bytes, window: int) -> np.ndarray:
     """A weak hash of every window of the data: sum of byte[i] * 256 ** (i mod 4) modulo 2 ** 32 - 1, i from the window's start.
 
-    256 ** 4 is 1 in that ring, so four sums, one for each position modulo 4, give all windows at once.
+    256 ** 4 is 1 in that ring, so one running sum gives all windows at once, each turned to its start.
     """
-    x = np.frombuffer(data, np.uint8).astype(np.uint64)
+    x = np.frombuffer(data, np.uint8)
     n = len(x) - window + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    lane = np.zeros((4, len(x) + 1), np.uint64)
-    for k in range(4):
-        y = np.zeros(len(x), np.uint64)
-        y[k::4] = x[k::4]
-        lane[k, 1:] = np.cumsum(y)
-    start = np.arange(n)
-    total = np.zeros(n, np.uint64)
-    for k in range(4):
-        part = lane[k, window:][:n] - lane[k, :n]
-        total += part << (np.uint64(8) * ((np.uint64(k) - start.astype(np.uint64)) & np.uint64(3)))
-    return total % np.uint64((1 << 32) - 1)
+    ring = np.uint64((1 << 32) - 1)
+    total = np.zeros(len(x) + 1, np.uint64)
+    np.cumsum(x.astype(np.uint64) << (np.arange(len(x), dtype=np.uint64) % 4 * 8), out=total[1:])
+    part = (total[window:] - total[:n]) % ring
+    return (part << ((4 - np.arange(n, dtype=np.uint64) % 4) % 4 * 8)) % ring
 
 
-def rolling_dedupe(files: DataFrame, window: int = 4096, content: str = "content") -> DataFrame:
-    """path, off, match_path, match_off, match_len: stretches equal to an aligned window of a file with a smaller path.
+def sums_by_block(data: bytes, window: int, block: int = 1 << 16) -> Iterator[tuple[int, np.ndarray]]:
+    """(offset, window_sums from there) of `block` windows at a time: memory does not grow with the data."""
+    view = memoryview(data)
+    for at in range(0, len(data) - window + 1, block):
+        yield at, window_sums(view[at : at + block + window - 1], window)
 
-    Aligned windows of all files are the index (first owner of a digest: least path and offset). A file's windows at any offset
-    whose weak hash is in the index's hash set are digested and joined; matches grow forward in whole windows of the owner by
-    joining consecutive windows (gaps and islands).
+
+def _windows(files: DataFrame, window: int, words=None) -> DataFrame:
+    """path, off, weak, digest of each file's aligned windows, or of those at any offset whose weak hash the bitmap may hold.
+
+    files: path, c. A worker has one file at a time beside its batch, and hands on 1,024 rows at once.
     """
-    f = files.select("path", F.col(content).cast("binary").alias("c")).filter(F.octet_length("c") >= window)
+    kinds = (pa.string(), pa.int64(), pa.int64(), pa.binary())
 
-    def aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import hashlib
 
-        for b in batches:
-            rows = []
-            for p, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                h = window_sums(c, window)[::window]
-                rows += [(p, k * window, int(v), hashlib.sha256(c[k * window : (k + 1) * window]).digest()) for k, v in enumerate(h.tolist())]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows, strict=True)], names=["path", "off", "weak", "digest"])
+        def rows() -> Iterator[tuple]:
+            for b in batches:
+                for path, c in _rows(b):
+                    for start, sums in sums_by_block(c, window):
+                        kept = np.arange(-start % window, len(sums), window) if words is None else may_hold(words.value, sums)
+                        for k, weak in zip(kept.tolist(), sums[kept].tolist(), strict=True):
+                            yield path, start + k, weak, hashlib.sha256(memoryview(c)[start + k : start + k + window]).digest()
 
-    index = f.mapInArrow(aligned, "path string, off long, weak long, digest binary").groupBy("weak", "digest").agg(F.min(F.struct("path", "off")).alias("owner"))
+        found = rows()
+        while part := list(islice(found, 1024)):
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*part, strict=True), kinds, strict=True)], names=["path", "off", "weak", "digest"])
 
-    def everywhere(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for p, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                h = window_sums(c, window)
-                yield pa.RecordBatch.from_arrays([pa.array([p] * len(h)), pa.array(np.arange(len(h))), pa.array(h.astype(np.int64))], names=["path", "off", "weak"])
-
-    weak = index.select("weak").distinct()
-    hits = f.mapInArrow(everywhere, "path string, off long, weak long").join(weak, "weak", "left_semi")
-    strong = hits.join(f, "path").select("path", "off", "weak", F.unhex(F.sha2(F.expr(f"substring(c, cast(off as int) + 1, {window})"), 256)).alias("digest"))
-    met = strong.join(index, ["weak", "digest"]).filter((F.col("owner.path") < F.col("path")) | ((F.col("owner.path") == F.col("path")) & (F.col("owner.off") + window <= F.col("off"))))
+    return files.mapInArrow(work, "path string, off long, weak long, digest binary")
+
+
+def rolling_dedupe(files: DataFrame, window: int = 4096, content: str = "content") -> DataFrame:
+    """path, off, match_path, match_off, match_len: stretches equal to an aligned window of a file with a smaller path.
+
+    Aligned windows of all files are the index (first owner of a digest: least path and offset). A file's windows at any offset
+    whose weak hash may be in the index, by a bitmap of fixed size, are digested where they are found and joined by hash and
+    digest, which drops what is not; matches grow forward in whole windows of the owner by joining consecutive windows (gaps and
+    islands). Contents go to Python a few files at a time and are not shuffled.
+    """
+    from canopy.plans.scratch import small_batches, stored
+
+    f = files.select("path", F.col(content).cast("binary").alias("c")).filter(F.octet_length("c") >= window)
+    with small_batches(files.sparkSession, 64):
+        index = stored(_windows(f, window).groupBy("weak", "digest").agg(F.min(F.struct("path", "off")).alias("owner")), "windows")
+        words = files.sparkSession.sparkContext.broadcast(bitmap(index.select("weak")))
+        hits = stored(_windows(f, window, words), "window-hits")
+    met = hits.join(index, ["weak", "digest"]).filter((F.col("owner.path") < F.col("path")) | ((F.col("owner.path") == F.col("path")) & (F.col("owner.off") + window <= F.col("off"))))
     m = met.select("path", "off", F.col("owner.path").alias("match_path"), F.col("owner.off").alias("match_off"), F.pmod("off", F.lit(window)).alias("phase"))
     w = W.partitionBy("path", "match_path", "phase").orderBy("off")
     joined = (F.lag("off").over(w) + window == F.col("off")) & (F.lag("match_off").over(w) + window == F.col("match_off"))

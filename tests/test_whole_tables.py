@@ -138,3 +138,60 @@ def test_suffixes_of_large_groups(spark, settle, monkeypatch):
     monkeypatch.setattr(dedupe, "_meet", lambda rows, groups, key: meet(rows, groups, key, many=5))
     df = spark.createDataFrame([(p, bytearray(c)) for p, c in files.items()], "path string, content binary")
     assert {r["path"]: (r["match_path"], r["match_len"]) for r in dedupe.suffix_matches(df, settle=settle).collect()} == brute_suffixes(files)
+
+
+def brute_windows(files, window):
+    """The matched windows of each file as (path, off, match_path, match_off)."""
+    index, out = {}, set()
+    for p, c in sorted(files.items()):
+        for k in range(0, len(c) - window + 1, window):
+            index.setdefault(c[k : k + window], (p, k))
+    for p, c in files.items():
+        for k in range(len(c) - window + 1):
+            q, at = index.get(c[k : k + window], (None, 0))
+            if q is not None and (q < p or q == p and at + window <= k):
+                out.add((p, k, q, at))
+    return out
+
+
+def test_rolling_windows_of_whole_files(spark):
+    rng = random.Random(19)
+    base = rng.randbytes(3000)
+    files = {"a": base, "b": b"xyz" + base[64:1500] + b"end", "c": b"p" * 500, "d": rng.randbytes(70000) + base[128:900] + rng.randbytes(70000), "e": base, "s": b"t" * 63, "z": b""}
+    df = spark.createDataFrame([(p, bytearray(c)) for p, c in files.items()], "path string, content binary")
+    rows = dedupe.rolling_dedupe(df, 64).collect()
+    assert {(r["path"], r["off"] + k, r["match_path"], r["match_off"] + k) for r in rows for k in range(0, r["match_len"], 64)} == brute_windows(files, 64)
+
+
+def test_rolling_windows_in_little_memory(spark):
+    """A worker's memory follows neither the size of a file nor the number of files in a batch."""
+    import os
+
+    import psutil
+
+    rng = random.Random(23)
+    content = rng.randbytes(1 << 20)
+    files = [(f"f{i:02}", bytearray(content[i:])) for i in range(6)] + [("long", bytearray(rng.randbytes(24 << 20)))]
+    df = spark.createDataFrame(files, "path string, content binary").coalesce(1)
+
+    def run():
+        return {r["path"] for r in dedupe.rolling_dedupe(df, 4096).collect()}
+
+    def workers():
+        return [p for p in psutil.Process().children(recursive=True) if "java" not in p.name() and p.ppid() != os.getpid()]
+
+    def peak(p):
+        try:
+            with open(f"/proc/{p.pid}/status") as f:
+                return next((int(x.split()[1]) for x in f if x.startswith("VmHWM")), 0)
+        except (FileNotFoundError, ProcessLookupError):
+            return 0
+
+    for p in workers():
+        try:
+            with open(f"/proc/{p.pid}/clear_refs", "w") as f:
+                f.write("5")  # the peak starts anew
+        except (FileNotFoundError, ProcessLookupError):
+            pass
+    assert run() == {f"f{i:02}" for i in range(1, 6)}
+    assert 0 < max(map(peak, workers())) < 600 << 10
