@@ -66,10 +66,22 @@ def suffix_matches(files: DataFrame, content: str = "content", length: int = 64,
     sixteenths of the range, again and again, until groups are small or ranges single bytes. Only bytes of such a range, and of
     the files that take part, are shuffled.
     """
-    from canopy.plans.scratch import stored
+    from canopy.plans.scratch import small_batches
 
     c = F.col(content).cast("binary")
     t = files.filter(F.octet_length(c) > length).select("path", c.alias("c"))
+    with small_batches(files.sparkSession, 256):
+        marks, found = _suffix_found(t, length, settle)
+    own = found.filter("match_len = size" if whole_only else "match_len is not null").select("path", "match_path", "match_len")
+    whole = found.filter("n > 1").select("whole", "n", "size", F.col("path").alias("first"), F.when(F.col("match_len") == F.col("size"), F.col("match_path")).otherwise(F.col("path")).alias("match_path"))
+    copies_ = _meet(marks.select("path", "whole"), whole, "whole").filter("path <> first")
+    return own.unionByName(copies_.select("path", "match_path", F.col("size").alias("match_len")))
+
+
+def _suffix_found(t: DataFrame, length: int, settle: int) -> tuple[DataFrame, DataFrame]:
+    """The marks of all files, and of each content whole, n, path (the least), size, match_path, match_len; both stored. t: path, c."""
+    from canopy.plans.scratch import stored
+
     marks = stored(_suffix_marks(t, length), "suffix-marks")
     once = marks.groupBy("whole").agg(F.min(F.struct("path", "size", "keys")).alias("r"), F.count("*").alias("n"))
     once = stored(once.select("whole", "n", "r.path", "r.size", "r.keys"), "suffix-contents")
@@ -77,19 +89,19 @@ def suffix_matches(files: DataFrame, content: str = "content", length: int = 64,
     open_ = stored(_longer_suffixes(levels.withColumn("width", F.col("lo"))), "suffixes")
     done = None
     while True:
-        group = open_.groupBy("key").agg(((F.count("*") + 1) * F.max("width")).alias("bytes"), F.count("*").alias("n"))
-        big = stored(group.filter(F.col("bytes") > settle).select("key", "n"), "suffix-groups")
+        group = open_.groupBy("key").agg(((F.count("*") + 1) * F.max("width")).alias("bytes"))
+        big = stored(group.filter(F.col("bytes") > settle).select("key"), "suffix-groups")
         # a big group's rows are not dealt by its key: there are few such groups for the rows
         large = F.broadcast(big.select("key", F.lit(True).alias("large")))
         now = open_.join(large, "key", "left").withColumn("large", F.coalesce("large", F.lit(False)))
         least = now.select(F.col("match_path").alias("path"), "key", "lo", "width", "large").distinct().withColumn("own", F.lit(False))
         members = stored(now.select("path", "key", "lo", "width", "large", F.lit(True).alias("own")).unionByName(least), "suffix-members")
-        settled = _settled(_pieces(t, members.filter("not large")))
+        settled = _settled(_pieces(t, members.filter("not large"), length))
         done = settled if done is None else done.unionByName(settled)
         open_ = now.filter("large").select("path", "key", "lo", "width", "match_path")
         if not big.limit(1).count():
             break
-        further = _longer_suffixes(stored(_range_digests(_pieces(t, members.filter("large"))), "suffix-digests"))
+        further = _longer_suffixes(stored(_range_digests(_pieces(t, members.filter("large"), length)), "suffix-digests"))
         step = F.greatest(F.floor(F.col("width") / 16), F.lit(1)).cast("long")
         moved = further.select("path", *[F.col(x).alias(f"_{x}") for x in ("key", "lo", "width", "match_path")])
         # who finds nothing stays with its match, and its range ends at the first step
@@ -97,11 +109,7 @@ def suffix_matches(files: DataFrame, content: str = "content", length: int = 64,
         now = stored(now, "suffixes")
         done = done.unionByName(now.filter("width = 1").select("path", "match_path", F.col("lo").alias("match_len")))
         open_ = now.filter("width > 1")
-    found = stored(once.drop("keys").join(done, "path", "left"), "suffix-found")
-    own = found.filter("match_len = size" if whole_only else "match_len is not null").select("path", "match_path", "match_len")
-    whole = found.filter("n > 1").select("whole", "n", "size", F.col("path").alias("first"), F.when(F.col("match_len") == F.col("size"), F.col("match_path")).otherwise(F.col("path")).alias("match_path"))
-    copies_ = _meet(marks.select("path", "whole"), whole, "whole").filter("path <> first")
-    return own.unionByName(copies_.select("path", "match_path", F.col("size").alias("match_len")))
+    return marks, stored(once.drop("keys").join(done, "path", "left"), "suffix-found")
 
 
 def _rows(batch: pa.RecordBatch) -> Iterator[tuple]:
@@ -134,22 +142,30 @@ def _suffix_marks(files: DataFrame, length: int) -> DataFrame:
     return files.mapInArrow(work, "path string, size long, whole binary, keys array<binary>")
 
 
-def _pieces(files: DataFrame, members: DataFrame) -> DataFrame:
+def _pieces(files: DataFrame, members: DataFrame, length: int) -> DataFrame:
     """key, path, lo, width, own, piece: of each member, the bytes before its suffix of length lo, less than width of them.
 
-    files: path, c. Contents of paths that are no members are dropped where they are read, by a bitmap of the members' paths.
+    files: path, c. A range lies between one of the first lengths and twice that. Python hands on just these bytes, and those of
+    members only, by a bitmap of paths with the number k of the length; contents are not shuffled.
     """
-    words = files.sparkSession.sparkContext.broadcast(bitmap(members.select(F.xxhash64("path"))))
+    members = members.withColumn("k", (F.length(F.bin(F.expr(f"lo div {length}"))) - 1).cast("int"))
+    keys = members.select(F.xxhash64("path").bitwiseXOR(F.shiftleft(F.col("k").cast("long"), 40)))
+    words = files.sparkSession.sparkContext.broadcast(bitmap(keys))
 
     def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            kept = may_hold(words.value, b.column(0).to_numpy())
-            if len(kept):
-                yield b.take(pa.array(kept)).select([1, 2])
+            rows, h, n = [], b.column(0).to_numpy(), b.column(3).to_numpy()
+            for k in range(int(n.max(initial=0) // length).bit_length()):
+                for at in may_hold(words.value, h ^ np.int64(k << 40)).tolist():
+                    if n[at] >= length << k:
+                        rows.append((b.column(1)[at].as_py(), k, b.column(2)[at].as_buffer()[max(0, int(n[at]) - (2 * length << k) + 1) : int(n[at]) - (length << k)].to_pybytes()))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.string(), pa.int32(), pa.binary()), strict=True)], names=["path", "k", "c"])
 
-    part = files.select(F.xxhash64("path").alias("h"), "path", "c").mapInArrow(some, "path string, c binary")
-    piece = F.expr("substring(c, cast(greatest(octet_length(c) - lo - width + 2, 1) as int), cast(least(octet_length(c) - lo, width - 1) as int))")
-    return members.join(part, "path").select("key", "path", "lo", "width", "own", piece.alias("piece"))
+    part = files.select(F.xxhash64("path").alias("h"), "path", "c", F.octet_length("c").alias("n")).mapInArrow(some, "path string, k int, c binary")
+    before = f"(octet_length(c) - (lo - shiftleft({length}L, k)))"
+    piece = F.expr(f"substring(c, cast(greatest({before} - width + 2, 1) as int), cast(least({before}, width - 1) as int))")
+    return members.join(part, ["path", "k"]).select("key", "path", "lo", "width", "own", piece.alias("piece"))
 
 
 def _settled(pieces: DataFrame) -> DataFrame:
